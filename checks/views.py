@@ -3,7 +3,7 @@
 The same definitions in SQL are in `checks.oracle`.  They belong to the checks, not to the library.
 """
 
-from functools import reduce
+from functools import cache, reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +13,37 @@ from docrecords.functions.typing import effective_value, typed_index
 from docrecords.operators import rules
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+def view(fn):
+    """Keep the (lazy) plan of a view per session and folder, so that it is built once."""
+    plans = {}
+
+    @wraps(fn)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (id(spark), sf)
+        if key not in plans:
+            plans[key] = (spark, fn(spark, sf))
+        return plans[key][1]
+
+    return get
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Stop filters from being rewritten through the derivation of a view.
+
+    Stored tables have such columns ready; here a filter would copy their whole derivation.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
+@cache
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return _read(spark, sf, name)
+
+
 def money_text(col: Column) -> Column:
     cents = F.round(col * 100).cast("bigint")
     return cents_text(cents)
@@ -27,6 +54,7 @@ def cents_text(cents: Column) -> Column:
     return F.concat(whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
 
 
+@view
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.col("o_orderstatus")
@@ -57,6 +85,7 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("is_failed")
 
 
+@view
 def extractions(spark: SparkSession, sf: str) -> DataFrame:
     """Current extraction per order, and an older approved one for reopened orders."""
     o = table(spark, sf, "orders")
@@ -94,6 +123,7 @@ FIELD_DEFS = (
 )
 
 
+@view
 def raw_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Ten scalar field rows per extraction; every sixteenth order has line items only."""
     e = extractions(spark, sf)
@@ -184,6 +214,7 @@ def _states(flat: DataFrame) -> DataFrame:
     )
 
 
+@view
 def line_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Three repeated-record fields per line item of the current extraction."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -231,6 +262,7 @@ def line_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@view
 def all_fields(spark: SparkSession, sf: str) -> DataFrame:
     return raw_fields(spark, sf).unionByName(line_fields(spark, sf))
 
@@ -238,19 +270,22 @@ def all_fields(spark: SparkSession, sf: str) -> DataFrame:
 def with_typed(fields: DataFrame) -> DataFrame:
     value = effective_value(F.col("review_state"), F.col("corrected_value"), F.col("extracted_value"))
     valued = fields.withColumn("_value", value)
-    return valued.withColumns(typed_index(F.col("type"), F.col("_value"))).drop("_value")
+    return fence(valued.withColumns(typed_index(F.col("type"), F.col("_value"))).drop("_value"))
 
 
+@view
 def fields(spark: SparkSession, sf: str) -> DataFrame:
     """Scalar field rows with typed index columns."""
     return with_typed(raw_fields(spark, sf))
 
 
+@view
 def checked_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Typed field rows with single-field validation and the attention flag."""
-    return rules.with_attention(rules.check_single(with_typed(raw_fields(spark, sf))))
+    return fence(rules.with_attention(fence(rules.check_single(with_typed(raw_fields(spark, sf))))))
 
 
+@view
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     """Two sources for two fields in three."""
     f = raw_fields(spark, sf).filter((F.col("field_id") % 3 != 0)).select("field_id")
@@ -264,6 +299,7 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@view
 def invoice_records(spark: SparkSession, sf: str) -> DataFrame:
     """Wide records of the current extractions (input of the library list and the queue)."""
     from docrecords.operators import records

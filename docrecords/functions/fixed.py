@@ -86,7 +86,7 @@ MATERIAL_TYPES = ("decimal", "integer", "currency", "date")
 B_LEFT = r"(?<![A-Za-z0-9_])"
 B_RIGHT = r"(?![A-Za-z0-9_])"
 START_DATE = (
-    B_LEFT + r"(?:start|begin|effective|from)" + B_RIGHT + r".*date" + B_RIGHT
+    B_LEFT + r"(?:start|begin|effective|from).*date" + B_RIGHT
     + "|" + B_LEFT + r"start(?:date)?" + B_RIGHT
 )
 END_DATE = (
