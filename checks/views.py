@@ -312,3 +312,54 @@ def invoice_records(spark: SparkSession, sf: str) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@view
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders rendered as text (ids from 0 up) and the documents as they are (negative ids)."""
+    li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    line = F.concat(
+        "p_name", F.lit("  "), F.col("l_quantity").cast("int").cast("string"), F.lit("  "), cents_text(cents),
+        F.when(F.col("l_linenumber") % 4 != 0, F.concat(F.lit("  "), "l_returnflag")).otherwise(""),
+    )
+    rows = li.groupBy("l_orderkey").agg(
+        F.array_join(
+            F.transform(
+                F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")))),
+                lambda r: r["line"],
+            ),
+            "\n",
+        ).alias("item_rows")
+    )
+    k = F.col("o_orderkey")
+    key = k.cast("string")
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    total = cents_text(F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    parts = [
+        F.when(k % 11 != 0, F.concat(F.lit("# Invoice AC-"), key)),
+        F.when(k % 11 != 0, F.concat(F.lit("Customer Name: Customer#"), F.col("o_custkey").cast("string"))),
+        F.when(k % 11 != 0, F.concat(F.lit("Invoice No: FLP/BLR/"), key, F.lit(" Invoice Date: "), iso)),
+        F.when(k % 11 != 0, F.concat(F.lit("Order Priority:  "), "o_orderpriority", F.lit(" "))),
+        F.when(k % 11 != 0, F.concat(F.lit("Total: $"), total)),
+        F.when(k % 5 == 0, F.concat(F.lit("  Total: "), total, F.lit(" Currency: USD"))),
+        F.when(k % 5 == 1, F.lit("Reference 12: none")),
+        F.lit(""),
+        F.when(k % 2 == 0, F.lit("Line Items")),
+        F.when(F.col("item_rows").isNotNull(), F.lit("Item  Qty  Amount  Amount")),
+        F.col("item_rows"),
+        F.lit(""),
+        F.when(k % 3 == 0, F.lit("| Code | Name |  |\n|---|---|\n| A1 | über |  |\n|  | Beta | 3 |")),
+        F.lit("single  row"),
+        F.when(k % 11 != 0, F.lit("NOTES AND TERMS")),
+        F.concat(F.lit("Deliver order "), key, F.lit(" before noon; contact billing"), key, F.lit("@example.com or +49 170 12"), F.lpad(key, 5, "0"), F.lit(", please.")),
+        F.when(k % 7 == 0, F.lit("Second paragraph, see linkedin.com/in/ab-c for more details.")),
+        F.when(k % 4 != 1, F.concat(F.lit("- first bullet "), key)),
+        F.when(k % 4 == 2, F.lit("2) another   bullet")),
+        F.when(k % 7 == 0, F.lit("## Notes\nplain words here.\n## Notes\nmore plain words.\n## Notes 2\nthe last words.")),
+    ]
+    rendered = table(spark, sf, "orders").join(rows, k == F.col("l_orderkey"), "left").select(
+        k.alias("doc_id"), F.concat_ws("\n", *parts).alias("text")
+    )
+    plain = table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    return rendered.unionByName(plain)

@@ -9,6 +9,9 @@ WS_CHARS = (
     r"\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 )
 WS = f"[{WS_CHARS}]"
+WS_LITERAL = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029])
+) + "\u202F\u205F\u3000\uFEFF"
 NOT_WS = f"[^{WS_CHARS}]"
 
 # File formats by extension and by MIME type.

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from . import fixed as V
 from .arrays import replace_matches
 
-_TRIM = f"^{V.WS}+|{V.WS}+\\z"
-
 
 def trim_ws(col: Column) -> Column:
     """Trim Unicode white space on both ends (plain `trim` strips spaces only)."""
-    return F.regexp_replace(col, _TRIM, "")
+    return F.btrim(col, F.lit(V.WS_LITERAL))
+
+
+def ltrim_ws(col: Column) -> Column:
+    return F.ltrim(col, F.lit(V.WS_LITERAL))
 
 
 def collapse_ws(col: Column) -> Column:
@@ -91,7 +93,7 @@ def normalize_text(raw: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return ~F.coalesce(col, F.lit("")).rlike(V.NOT_WS)
+    return trim_ws(F.coalesce(col, F.lit(""))) == ""
 
 
 def _code_point(n: Column) -> Column:
