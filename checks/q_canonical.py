@@ -24,7 +24,7 @@ def check(name, sql=None):
 
 
 def lines(spark, sf):
-    return canonical.structure_lines(V.texts(spark, sf))
+    return V.lines(spark, sf)
 
 
 @check(

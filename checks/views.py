@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docrecords.functions.typing import effective_value, typed_index
-from docrecords.operators import rules
+from docrecords.operators import canonical, rules
+from docrecords.plans.stages import stage
 
 
 def view(fn):
@@ -362,4 +363,12 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("doc_id"), F.concat_ws("\n", *parts).alias("text")
     )
     plain = table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
-    return rendered.unionByName(plain)
+    # Line analysis is heavy per byte: spread the small test files over all cores.
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rendered.unionByName(plain).repartition(parts, "doc_id")
+
+
+@view
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Structured lines of the texts, staged once: most text checks read them."""
+    return stage(canonical.structure_lines(texts(spark, sf)), "lines")

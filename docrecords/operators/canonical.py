@@ -2,7 +2,9 @@
 
 A document is one row, and everything that needs the order of its lines is computed inside that
 row (`functions.arrays.scan`).  Lines, blocks, key/values and cells then come out of a plain
-explode: the whole step is one pass over the documents without a shuffle, at any scale.
+explode: the whole step is one pass over the documents without a shuffle, at any scale.  The
+outer forms of explode are used on computed arrays on purpose: for the inner forms the optimizer
+adds a filter on the array's size, which would compute the array again.
 
 Offsets are code points, half open.
 """
@@ -62,7 +64,7 @@ def _offset_lines(lines: Column) -> Column:
 def explode_lines(texts: DataFrame) -> DataFrame:
     """Lines of every text with exact half-open offsets."""
     lines = _offset_lines(F.split("text", "\n", -1))
-    return texts.select("doc_id", F.inline(lines))
+    return texts.select("doc_id", F.inline_outer(lines)).filter(F.col("line_no").isNotNull())
 
 
 # --- line tests ----------------------------------------------------------------------------
@@ -237,7 +239,7 @@ def structure_lines(texts: DataFrame) -> DataFrame:
 
     lines = tagged.withColumn("_lines", scan(F.col("_lines"), zero, step, emit, STRUCTURED))
     kept = F.filter("_lines", lambda x: x["kind"] != "blank")
-    return lines.select("doc_id", F.inline(kept))
+    return lines.select("doc_id", F.inline_outer(kept)).filter(F.col("line_no").isNotNull())
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -272,7 +274,7 @@ def blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(line: Column) -> Column:
+def line_pairs(line: Column) -> Column:
     """array<struct<key, value, at>> of a line; `at` is the value's offset in the line."""
     body = ltrim_ws(line)
     labels = F.regexp_extract_all(body, F.lit(LABEL), F.lit(0))
@@ -319,19 +321,19 @@ def _pairs(line: Column) -> Column:
 
 
 def key_value_text(line: Column) -> Column:
-    pairs = F.transform(_pairs(line), lambda p: F.concat(p["key"], F.lit(": "), p["value"]))
+    pairs = F.transform(line_pairs(line), lambda p: F.concat(p["key"], F.lit(": "), p["value"]))
     return F.array_join(pairs, "  ")
 
 
 def key_values(lines: DataFrame) -> DataFrame:
     """Key/value pairs of the `kv` lines with the exact offsets of their values."""
-    found = lines.filter(F.col("kind") == "kv").withColumn("_pairs", _pairs(F.col("text")))
+    found = lines.filter(F.col("kind") == "kv").withColumn("_pairs", line_pairs(F.col("text")))
     return found.select(
         "doc_id",
         "line_no",
         "heading",
         F.col("start").alias("_line_start"),
-        F.posexplode("_pairs").alias("pair_no", "p"),
+        F.posexplode_outer("_pairs").alias("pair_no", "p"),
     ).select(
         "doc_id",
         "line_no",
@@ -420,7 +422,7 @@ def table_cells(lines: DataFrame) -> DataFrame:
         "heading",
         F.col("start").alias("_line_start"),
         "_heads",
-        F.posexplode(F.concat("_cells", pad)).alias("column_no", "c"),
+        F.posexplode_outer(F.concat("_cells", pad)).alias("column_no", "c"),
     ).select(
         "doc_id",
         "table_no",
