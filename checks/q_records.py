@@ -266,7 +266,7 @@ tab AS (
     O.sql([O.DOCS, O.ALL_FIELDS, SUMMARY_SQL], "SELECT doc_id, rank, key, label, value FROM top4"),
 )
 def _(spark, sf):
-    return records.summary_values(V.docs(spark, sf), V.with_typed(V.all_fields(spark, sf)))
+    return records.summary_values(V.docs(spark, sf), V.all_typed(spark, sf))
 
 
 @check(
@@ -274,7 +274,7 @@ def _(spark, sf):
     O.sql([O.DOCS, O.ALL_FIELDS, SUMMARY_SQL], "SELECT doc_id, rank, key, label, value FROM tab"),
 )
 def _(spark, sf):
-    return records.table_summaries(V.docs(spark, sf), V.with_typed(V.all_fields(spark, sf)))
+    return records.table_summaries(V.docs(spark, sf), V.all_typed(spark, sf))
 
 
 @check(

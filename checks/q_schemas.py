@@ -220,7 +220,7 @@ def changes(spark, sf):
 
 @V.view
 def applied(spark, sf):
-    return V.fence(review.apply_changes(V.raw_fields(spark, sf), changes(spark, sf))[0])
+    return V.stage(review.apply_changes(V.raw_fields(spark, sf), changes(spark, sf))[0], "applied")
 
 
 @check("r01_apply_changes", O.sql([*RAW, CHANGES], "SELECT field_id, corrected_value, review_state FROM v_new"))
@@ -283,7 +283,7 @@ v_pr AS (SELECT extraction_id, CASE WHEN bool_or(validation_state = 'invalid' OR
       LEFT JOIN v_pr p ON p.extraction_id = d.current_extraction_id"""),
 )
 def _(spark, sf):
-    progress = rules.review_progress(V.fence(review.recompute(applied(spark, sf))))
+    progress = rules.review_progress(review.recompute(applied(spark, sf)))
     edited = V.raw_fields(spark, sf).filter(F.col("field_id") % 4 == 1).select("doc_id")
     return review.reopen_edited(V.docs(spark, sf), edited, progress).select("doc_id", "review_status", "approved_at")
 
@@ -393,7 +393,7 @@ def _(spark, sf):
     holes = V.fields(spark, sf).withColumns(
         {**{c: F.when(keep, F.col(c)) for c in ("value_text", "value_numeric", "value_date")}, "value_boolean": F.lit(None).cast("boolean")}
     )
-    return review.backfill_typed(V.fence(holes)).select(
+    return review.backfill_typed(holes).select(
         "field_id", "value_text", F.col("value_numeric").cast("string").alias("value_numeric"), "value_date", "value_boolean"
     )
 

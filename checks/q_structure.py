@@ -235,12 +235,13 @@ v_assigned AS (SELECT doc_id, doc_id % 2 AS schema_version_id FROM v_docs_text W
 v_leafs AS (SELECT v AS schema_version_id, s AS leaf_key, s AS key, label, 'details' AS field_group, type, length(s) % 3 = 0 AS required, length(s) % 2 = 0 AS material FROM (
    SELECT {camel("key")} AS s, min(key) AS label, min({infer("value")}) AS type FROM v_kv GROUP BY 1 UNION ALL SELECT DISTINCT event_type, 'The ' || event_type, 'string' FROM events), (SELECT unnest([0, 1]) AS v)
    WHERE v = 1 OR length(s) % 2 = 0),
-v_first AS (SELECT doc_id, slug, arg_min({{'line_no': line_no, 'pair_no': pair_no, 'value': value, 'start': start, 'end': "end"}}, (line_no, pair_no)) AS hit FROM (SELECT *, {camel("key")} AS slug FROM v_kv) GROUP BY ALL),
+v_alt AS MATERIALIZED (SELECT DISTINCT schema_version_id, leaf_key, unnest([{camel("key")}, {camel("label")}]) AS slug FROM v_leafs),
+v_first AS MATERIALIZED (SELECT doc_id, slug, arg_min({{'line_no': line_no, 'pair_no': pair_no, 'value': value, 'start': start, 'end': "end"}}, (line_no, pair_no)) AS hit FROM (SELECT *, {camel("key")} AS slug FROM v_kv) GROUP BY ALL),
 v_with AS (SELECT a.doc_id, l.leaf_key AS path, l.leaf_key AS schema_field_key, l.label, l.field_group, l.type, l.required, l.material, CASE WHEN h IS NULL THEN 'not_found' ELSE 'present' END AS presence_state,
    CASE WHEN h IS NOT NULL THEN {norm("l.type", "h.value")} END AS value, CASE WHEN h IS NULL THEN 0.2 WHEN l.type = 'text' THEN 0.7 ELSE 0.85 END AS confidence_score, h.start AS start, h."end" AS "end", h IS NOT NULL AS grounded
-   FROM v_assigned a JOIN (SELECT *, [{camel("key")}, {camel("label")}] AS slugs FROM v_leafs) l ON l.schema_version_id = a.schema_version_id LEFT JOIN (
-     SELECT a.doc_id, l.leaf_key, arg_min(f.hit, (f.hit.line_no, f.hit.pair_no)) AS h FROM v_assigned a JOIN v_leafs l ON l.schema_version_id = a.schema_version_id
-       JOIN v_first f ON f.doc_id = a.doc_id AND f.slug IN ({camel("l.key")}, {camel("l.label")}) GROUP BY ALL) m ON m.doc_id = a.doc_id AND m.leaf_key = l.leaf_key)"""
+   FROM v_assigned a JOIN v_leafs l ON l.schema_version_id = a.schema_version_id LEFT JOIN (
+     SELECT a.doc_id, l.leaf_key, arg_min(f.hit, (f.hit.line_no, f.hit.pair_no)) AS h FROM v_assigned a JOIN v_alt l ON l.schema_version_id = a.schema_version_id
+       JOIN v_first f ON f.doc_id = a.doc_id AND f.slug = l.slug GROUP BY ALL) m ON m.doc_id = a.doc_id AND m.leaf_key = l.leaf_key)"""
 WSHOWN = 'doc_id, path, schema_field_key, label, field_group, type, required, material, presence_state, value, confidence_score::DOUBLE AS confidence_score, start, "end", grounded'
 
 
@@ -366,18 +367,21 @@ def _(spark, sf):
     )
 
 
+OVERLAY = f"""
+v_weak AS MATERIALIZED (SELECT *, NOT (presence_state = 'present' AND confidence_score >= 0.75) AS weak FROM v_with),
+v_wn AS MATERIALIZED (SELECT doc_id, path, min(r) AS r, slug FROM (SELECT doc_id, path, unnest([0, 1, 2]) AS r, unnest([{camel("schema_field_key")}, {camel("path")}, {camel("label")}]) AS slug FROM v_weak WHERE weak) GROUP BY ALL),
+v_cn AS MATERIALIZED (SELECT doc_id, slug, arg_min({{'value': value, 'ps': ps, 'confidence_score': confidence_score}}, position) AS c FROM (
+  SELECT doc_id, position, value, CASE WHEN value IS NULL THEN 'not_found' ELSE 'present' END AS ps, confidence_score, {camel("n")} AS slug FROM (
+    SELECT *, unnest([key, CASE WHEN path = '' THEN key ELSE path END, CASE WHEN label = '' THEN {human("key")} ELSE label END]) AS n FROM v_prop)) GROUP BY ALL),
+v_take AS (SELECT * FROM (SELECT w.doc_id, w.path, arg_min(x.c, w.r) AS c FROM v_wn w JOIN v_cn x ON x.doc_id = w.doc_id AND x.slug = w.slug GROUP BY ALL) WHERE c.value IS NOT NULL)"""
+
+
 @check(
     "x15_overlay_candidates",
-    O.sql([*X.PARSE, X.KV, LEAVES, PROPOSALS], f"""
-      SELECT w.doc_id, w.path, CASE WHEN t THEN c.value ELSE w.value END AS value, CASE WHEN t THEN c.ps ELSE w.presence_state END AS presence_state,
-        CAST(CASE WHEN t THEN c.confidence_score ELSE w.confidence_score END AS DECIMAL(6,4))::VARCHAR AS confidence_score
-      FROM (SELECT *, NOT (presence_state = 'present' AND confidence_score >= 0.75) AS weak FROM v_with) w LEFT JOIN (
-        SELECT *, value IS NOT NULL AS t FROM (SELECT w.doc_id, w.path, arg_min(x.c, CASE x.slug WHEN {camel("w.schema_field_key")} THEN 0 WHEN {camel("w.path")} THEN 1 ELSE 2 END) AS c FROM v_with w JOIN (
-          SELECT doc_id, slug, arg_min({{'value': value, 'ps': ps, 'confidence_score': confidence_score}}, position) AS c FROM (
-            SELECT doc_id, position, value, CASE WHEN value IS NULL THEN 'not_found' ELSE 'present' END AS ps, confidence_score, {camel("n")} AS slug FROM (
-              SELECT *, unnest([key, CASE WHEN path = '' THEN key ELSE path END, CASE WHEN label = '' THEN {human("key")} ELSE label END]) AS n FROM v_prop)) GROUP BY ALL) x
-          ON x.doc_id = w.doc_id AND x.slug IN ({camel("w.schema_field_key")}, {camel("w.path")}, {camel("w.label")}) GROUP BY ALL), (SELECT 1) z(one), LATERAL (SELECT c.value AS value) v) m
-      ON m.doc_id = w.doc_id AND m.path = w.path AND w.weak LEFT JOIN (SELECT 1) one ON true"""),
+    O.sql([*X.PARSE, X.KV, LEAVES, PROPOSALS, OVERLAY], """
+      SELECT w.doc_id, w.path, CASE WHEN m.c IS NOT NULL THEN m.c.value ELSE w.value END AS value, CASE WHEN m.c IS NOT NULL THEN m.c.ps ELSE w.presence_state END AS presence_state,
+        CAST(CASE WHEN m.c IS NOT NULL THEN m.c.confidence_score ELSE w.confidence_score END AS DECIMAL(6,4))::VARCHAR AS confidence_score
+      FROM v_weak w LEFT JOIN v_take m ON m.doc_id = w.doc_id AND m.path = w.path AND w.weak"""),
 )
 def _(spark, sf):
     base = structure.extract_with_schema(lines(spark, sf), assigned(spark, sf), leaves(spark, sf))

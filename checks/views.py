@@ -28,14 +28,6 @@ def view(fn):
     return get
 
 
-def fence(df: DataFrame) -> DataFrame:
-    """Stop filters from being rewritten through the derivation of a view.
-
-    Stored tables have such columns ready; here a filter would copy their whole derivation.
-    """
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 @cache
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -271,19 +263,25 @@ def all_fields(spark: SparkSession, sf: str) -> DataFrame:
 def with_typed(fields: DataFrame) -> DataFrame:
     value = effective_value(F.col("review_state"), F.col("corrected_value"), F.col("extracted_value"))
     valued = fields.withColumn("_value", value)
-    return fence(valued.withColumns(typed_index(F.col("type"), F.col("_value"))).drop("_value"))
+    return valued.withColumns(typed_index(F.col("type"), F.col("_value"))).drop("_value")
 
 
 @view
 def fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Scalar field rows with typed index columns."""
-    return with_typed(raw_fields(spark, sf))
+    """Scalar field rows with typed index columns, stored as the library expects them."""
+    return stage(with_typed(raw_fields(spark, sf)), "fields")
+
+
+@view
+def all_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """All field rows, repeated records included, with typed index columns, stored."""
+    return stage(with_typed(all_fields(spark, sf)), "all-fields")
 
 
 @view
 def checked_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Typed field rows with single-field validation and the attention flag."""
-    return fence(rules.with_attention(fence(rules.check_single(with_typed(raw_fields(spark, sf))))))
+    """Field rows with single-field validation and the attention flag, stored."""
+    return stage(rules.with_attention(rules.check_single(fields(spark, sf))), "checked")
 
 
 @view

@@ -69,9 +69,13 @@ def replace_matches(text: Column, pattern: str, convert: Callable[[Column], Colu
 
     `regexp_replace` takes only a template; this is its form with a function.
     """
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.zip_with(
-        between, found, lambda b, m: F.concat(b, F.coalesce(convert(m), F.lit("")))
-    )
-    return F.array_join(pieces, "")
+
+    def rebuilt(bound: Column) -> Column:
+        between = F.split(bound, pattern, -1)
+        found = F.regexp_extract_all(bound, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(
+            between, found, lambda b, m: F.concat(b, F.coalesce(convert(m), F.lit("")))
+        )
+        return F.array_join(pieces, "")
+
+    return let(text, rebuilt)

@@ -1,10 +1,12 @@
 """String functions: trimming, slugs, labels, LIKE escaping, text and HTML normalization."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed as V
-from .arrays import replace_matches
+from .arrays import let, replace_matches
 
 
 def trim_ws(col: Column) -> Column:
@@ -117,12 +119,17 @@ def decode_entities(text: Column) -> Column:
         known = F.create_map(*[F.lit(x) for kv in V.NAMED_ENTITIES.items() for x in kv])
         return F.coalesce(F.try_element_at(known, F.lower(m)), m)
 
-    text = F.when(text.contains("&#"), replace_matches(text, r"&#(\d+);", decimal)).otherwise(text)
-    has_hex = text.rlike("(?i)&#x[0-9a-f]")
-    text = F.when(has_hex, replace_matches(text, "(?i)&#x([0-9a-f]+);", hexadecimal)).otherwise(text)
-    return F.when(
-        text.contains("&"), replace_matches(text, "(?i)&[a-z]+;|&#39;", named)
-    ).otherwise(text)
+    # Every step is bound once: an expression that names its input several times would otherwise
+    # repeat all the steps before it.
+    def step(source: Column, marker: str, pattern: str, convert: Callable[[Column], Column]) -> Column:
+        return let(
+            source,
+            lambda t: F.when(t.rlike(marker), replace_matches(t, pattern, convert)).otherwise(t),
+        )
+
+    text = step(text, "&#[0-9]", r"&#(\d+);", decimal)
+    text = step(text, "(?i)&#x[0-9a-f]", "(?i)&#x([0-9a-f]+);", hexadecimal)
+    return step(text, "&", "(?i)&[a-z]+;|&#39;", named)
 
 
 # The ordered cleaning steps of the HTML reduction, before and after headings.
