@@ -54,6 +54,7 @@ def main() -> None:
         ("stage_all_fields", views.all_typed),
         ("stage_checked", views.checked_fields),
         ("stage_validated", q_rules.valid),
+        ("stage_texts", views.texts),
         ("stage_lines", views.lines),
         ("stage_keyed", q_structure.keyed),
     ):

@@ -315,7 +315,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 @view
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders rendered as text (ids from 0 up) and the documents as they are (negative ids)."""
+    """Orders rendered as text (ids from 0 up) and the documents as they are (negative ids), stored."""
     li = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     line = F.concat(
@@ -363,7 +363,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     plain = table(spark, sf, "documents").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
     # Line analysis is heavy per byte: spread the small test files over all cores.
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rendered.unionByName(plain).repartition(parts, "doc_id")
+    return stage(rendered.unionByName(plain).repartition(parts, "doc_id"), "texts")
 
 
 @view
