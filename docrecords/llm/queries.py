@@ -2,8 +2,33 @@
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_index, shard_schedule, weak_rules
-from .common import table
+from . import (
+    decontaminate,
+    language_id,
+    license_index,
+    neighbour_quality,
+    shard_schedule,
+    weak_rules,
+    window_packing,
+)
+from .common import fold_of, table
+
+
+def quality_labels(docs, labels):
+    """(doc_id, text, label) of the labelled documents outside the held-out fold."""
+    own = labels.select("doc_id", F.col("quality").alias("label"))
+    return docs.filter(fold_of(F.col("doc_id"), 5) != 0).join(own, "doc_id")
+
+
+def op1_neighbour_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = neighbour_quality.fit(quality_labels(docs, table(spark, sf_dir, "labels")))
+    return neighbour_quality.score(docs, model).select(
+        "doc_id",
+        F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
 
 
 def op3_license_scan(spark, sf_dir):
@@ -11,6 +36,27 @@ def op3_license_scan(spark, sf_dir):
     return license_index.license_scan(docs).drop("text")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = fold_of(F.col("doc_id"), 4)
+    model = language_id.fit(docs.filter(fold != 2))
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", F.coalesce(fold == 2, F.lit(True)).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op7_sum_of_squares_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return window_packing.pack(docs, tokenizer_path())
+
+
 def op8_longest_first_shards(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shard_schedule.shard_documents(docs)
@@ -46,6 +92,14 @@ def op10_weak_rules(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op3_license_scan, op8_longest_first_shards, op9_decontaminate, op10_weak_rules)
+    for f in (
+        op1_neighbour_quality,
+        op3_license_scan,
+        op4_language_id,
+        op7_sum_of_squares_packing,
+        op8_longest_first_shards,
+        op9_decontaminate,
+        op10_weak_rules,
+    )
 }
 ORACLE = {}
