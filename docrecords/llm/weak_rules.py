@@ -23,10 +23,18 @@ from .common import without
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIN_WORDS = 50
 PRIOR_GOOD = 0.8
 ROUNDS = 50
 KEEP_AT = 0.5
+ANCHOR = 1.0
+
+# Where the estimate starts: for each vote, its probability on good and on bad documents.  A bad
+# document shows some of the faults, a good one hardly any.
+BOTH_WAYS = {1: (0.75, 0.45), 0: (0.002, 0.15), None: (0.248, 0.40)}
+FAULT = {1: (1e-6, 1e-6), 0: (0.002, 0.15), None: (0.998, 0.85)}
+VOTES_FOR = ("length", "word_length")
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
@@ -35,24 +43,26 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
-def _band(value: Column, good: Column, bad: Column) -> Column:
-    """1 for, 0 against, null where the rule abstains."""
-    return F.when(value.isNull(), None).when(bad, 0).when(good, 1).cast("int")
+def _votes(good: Column | None, bad: Column) -> Column:
+    """0 against, 1 for, null where the rule abstains or its ratio is undefined."""
+    vote = F.when(bad, 0)
+    return (vote if good is None else vote.when(good, 1)).cast("int")
 
 
-# Each rule: its name and its vote from the measured columns.  The bands between "good" and "bad"
-# are where a rule abstains.
+# Each rule: its name and its vote from the measured columns.  Ordinary length speaks for a document.
+# The other rules each look for one fault; its absence says little about the rest, so they abstain.
 RULES = {
-    "length": lambda c: _band(c["n_words"], c["n_words"] >= 100, c["n_words"] < MIN_WORDS),
-    "word_length": lambda c: _band(
-        m := _share(c["word_chars"], c["n_words"]), m.between(3, 10), (m < 2) | (m > 15)
+    "length": lambda c: _votes(c["n_words"] >= 100, c["n_words"] < MIN_WORDS),
+    "word_length": lambda c: _votes(
+        (m := _share(c["word_chars"], c["n_words"])).between(3, 10), (m < 2) | (m > 15)
     ),
-    "symbols": lambda c: _band(s := _share(c["n_symbols"], c["n_words"]), s < 0.02, s > 0.1),
-    "dup_lines": lambda c: _band(s := _share(c["n_dup_lines"], c["n_lines"]), s < 0.1, s > 0.3),
-    "repeats": lambda c: _band(s := _share(c["n_repeat_words"], c["n_words"]), s < 0.25, s > 0.5),
-    "capitals": lambda c: _band(s := _share(c["n_capitals"], c["word_chars"]), s < 0.15, s > 0.4),
-    "shouts": lambda c: _band(s := _share(c["n_shouts"], c["n_words"]), s < 0.05, s > 0.2),
-    "digits": lambda c: _band(s := _share(c["n_digits"], c["word_chars"]), s < 0.1, s > 0.3),
+    "symbols": lambda c: _votes(None, _share(c["n_symbols"], c["n_words"]) > 0.1),
+    "marks": lambda c: _votes(None, _share(c["n_marks"], c["word_chars"]) > 0.12),
+    "dup_lines": lambda c: _votes(None, _share(c["n_dup_lines"], c["n_lines"]) > 0.4),
+    "repeats": lambda c: _votes(None, _share(c["n_repeat_words"], c["n_words"]) > 0.4),
+    "capitals": lambda c: _votes(None, _share(c["n_capitals"], c["word_chars"]) > 0.4),
+    "shouts": lambda c: _votes(None, _share(c["n_shouts"], c["n_words"]) > 0.2),
+    "digits": lambda c: _votes(None, _share(c["n_digits"], c["word_chars"]) > 0.3),
 }
 
 
@@ -101,6 +111,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("_lines"),
         "n_capitals": _without_chars(F.col("_body"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_shouts": _without_chars(F.col("_body"), "!?"),
+        "n_marks": _without_chars(F.col("_body"), MARKS),
         "n_digits": _without_chars(F.col("_body"), "0123456789"),
     }
     df = df.withColumns({k: v.cast("long") for k, v in counts.items()})
@@ -110,20 +121,23 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop("_body", "_words", "_lines", "_sorted", "_repeat")
 
 
-_MEASURES = ["n_lines", "n_capitals", "n_shouts", "n_digits"]
+_MEASURES = ["n_lines", "n_capitals", "n_shouts", "n_marks", "n_digits"]
 
 
-def fit(patterns: dict[tuple, int], rules: int, rounds: int = ROUNDS) -> tuple[float, list]:
+def fit(patterns: dict[tuple, int], start: list[dict], rounds: int = ROUNDS) -> tuple[float, list]:
     """Log prior odds of good, and for each rule {vote: log odds} from counts of vote patterns.
 
-    Starts from the votes' meaning.  One pseudo-document a class, spread as the start has it, keeps
-    probabilities off zero; without documents the start itself is returned.
+    Starts from the votes' meaning, which also stays in the estimate with `ANCHOR` times the weight of
+    the documents, whatever their number, so that the two classes cannot change places.  Without
+    documents the start itself is returned.
     """
-    start = [{1: (0.80, 0.45), 0: (0.02, 0.35), None: (0.18, 0.20)} for _ in range(rules)]
     prior, tables = PRIOR_GOOD, start
-    for _ in range(rounds if patterns else 0):
-        good_all, bad_all = PRIOR_GOOD, 1 - PRIOR_GOOD
-        sums = [{v: list(p) for v, p in t.items()} for t in start]
+    anchor = ANCHOR * sum(patterns.values())
+    for _ in range(rounds if anchor else 0):
+        good_all, bad_all = anchor * PRIOR_GOOD, anchor * (1 - PRIOR_GOOD)
+        sums = [
+            {v: [good_all * p[0], bad_all * p[1]] for v, p in table.items()} for table in start
+        ]
         odds = _log_odds(prior, tables)
         for votes, n in patterns.items():
             q = _posterior(odds, votes)
@@ -145,7 +159,7 @@ def _log_odds(prior: float, tables: list) -> tuple[float, list]:
     odds = []
     for table in tables:
         row = {v: math.log(g / b) for v, (g, b) in table.items()}
-        odds.append({1: max(row[1], 0.0), 0: min(row[0], 0.0), None: 0.0})
+        odds.append({1: max(row[1], 0.0), 0: min(row[0], 0.0), None: row[None]})
     return math.log(prior / (1 - prior)), odds
 
 
@@ -162,10 +176,10 @@ def quality_votes(docs: DataFrame, *, text: str = "text") -> DataFrame:
     voted = counted.withColumns({f"vote_{k}": rule(counted) for k, rule in RULES.items()})
     rows = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
     patterns = {tuple(r[v] for v in votes): r["n"] for r in rows}
-    prior, odds = fit(patterns, len(votes))
+    prior, odds = fit(patterns, [BOTH_WAYS if name in VOTES_FOR else FAULT for name in RULES])
     total = F.lit(prior)
     for vote, row in zip(votes, odds, strict=True):
-        total = total + F.when(F.col(vote) == 1, row[1]).when(F.col(vote) == 0, row[0]).otherwise(0.0)
+        total = total + F.when(F.col(vote) == 1, row[1]).when(F.col(vote) == 0, row[0]).otherwise(row[None])
     return voted.withColumn("quality_posterior", 1 / (1 + F.exp(-total))).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality_posterior") >= KEEP_AT)
     )

@@ -164,9 +164,20 @@ def test_weak_rules_odd_rows(spark):
     assert weak_rules.quality_votes(odd_documents(spark).limit(0)).count() == 0
 
 
+KINDS = [weak_rules.BOTH_WAYS, weak_rules.FAULT, weak_rules.FAULT, weak_rules.FAULT]
+
+
 def test_rule_accuracies_are_learned():
-    """A rule that follows the others gains weight; one that votes at random loses its."""
-    patterns = {(1, 1, 1): 450, (1, 1, 0): 450, (0, 0, 1): 50, (0, 0, 0): 50}
-    _, odds = weak_rules.fit(patterns, 3)
-    assert odds[0][0] < -2 and odds[0][1] > 0.5
-    assert abs(odds[2][0]) < 0.3 and abs(odds[2][1]) < 0.3
+    """A rule that goes with the others' faults gains weight; one that fires at random loses its."""
+    none = (1, None, None, None)
+    patterns = {none: 900, (1, None, None, 0): 100, (0, 0, 0, None): 90, (0, 0, None, 0): 10}
+    start = weak_rules.fit({}, KINDS)[1]
+    _, odds = weak_rules.fit(patterns, KINDS)
+    assert odds[1][0] < start[1][0] and odds[3][0] > start[3][0]
+    assert all(row[1] >= 0 >= row[0] for row in odds)
+
+
+def test_rule_weights_do_not_depend_on_size():
+    patterns = {(1, None): 90, (0, 0): 7, (None, 0): 3}
+    grown = {k: 1000 * n for k, n in patterns.items()}
+    assert weak_rules.fit(patterns, KINDS[:2])[0] == pytest.approx(weak_rules.fit(grown, KINDS[:2])[0])
