@@ -7,6 +7,7 @@ from . import (
     language_id,
     license_index,
     neighbour_quality,
+    partenum_join,
     shard_schedule,
     weak_rules,
     window_packing,
@@ -52,6 +53,10 @@ def op4_language_id(spark, sf_dir):
     )
 
 
+def op5_partenum_join(spark, sf_dir):
+    return partenum_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_sum_of_squares_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return window_packing.pack(docs, tokenizer_path())
@@ -96,6 +101,7 @@ QUERIES = {
         op1_neighbour_quality,
         op3_license_scan,
         op4_language_id,
+        op5_partenum_join,
         op7_sum_of_squares_packing,
         op8_longest_first_shards,
         op9_decontaminate,
