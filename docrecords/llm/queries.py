@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from . import (
+    chat_views,
     decontaminate,
     language_id,
+    lattice_score,
     license_index,
     neighbour_quality,
     partenum_join,
@@ -32,15 +34,19 @@ def op1_neighbour_quality(spark, sf_dir):
     )
 
 
+def op2_chat_views(spark, sf_dir):
+    return chat_views.chat_views(table(spark, sf_dir, "conversations"))
+
+
 def op3_license_scan(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return license_index.license_scan(docs).drop("text")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op4_language_id(spark, sf_dir):
@@ -57,9 +63,15 @@ def op5_partenum_join(spark, sf_dir):
     return partenum_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_lattice_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = fold_of(F.col("doc_id"), 10) != 0
+    return lattice_score.lattice_scores(docs, train, tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_sum_of_squares_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return window_packing.pack(docs, tokenizer_path())
+    return window_packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_longest_first_shards(spark, sf_dir):
@@ -99,13 +111,75 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_neighbour_quality,
+        op2_chat_views,
         op3_license_scan,
         op4_language_id,
         op5_partenum_join,
+        op6_lattice_score,
         op7_sum_of_squares_packing,
         op8_longest_first_shards,
         op9_decontaminate,
         op10_weak_rules,
     )
 }
-ORACLE = {}
+ORACLE = {
+    "op2_chat_views": """
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 row_number() OVER (PARTITION BY conv_id
+                   ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS position
+          FROM conversations),
+        v AS (
+          SELECT t.conv_id, s.speaker, t.position, t.turn, t.role,
+                 '<|im_start|>' || CASE WHEN t.role = s.speaker THEN 'assistant'
+                   WHEN t.role = 'system' THEN t.role
+                   ELSE 'user name=' || replace(t.role, '<|im_', '<| im_') END || chr(10) AS opening,
+                 replace(t.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) AS said
+          FROM t JOIN (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system') s
+            ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
+        e AS (
+          SELECT *, length(opening) + length(said) AS n,
+                 CAST(sum(length(opening) + length(said)) OVER (
+                   PARTITION BY conv_id, speaker ORDER BY position) AS BIGINT) AS stop
+          FROM v)
+        SELECT conv_id, speaker, position, turn, role, opening || said AS segment,
+               stop - n AS "start", stop AS "end",
+               CASE WHEN role = speaker THEN stop - n + length(opening) END AS loss_start,
+               CASE WHEN role = speaker THEN stop - 1 END AS loss_end
+        FROM e""",
+    "op9_decontaminate": """
+        WITH item_words AS (
+          SELECT item_id, string_split(trim(regexp_replace(
+                   translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^0-9a-z\\x{80}-\\x{10FFFF}]+', ' ', 'g')), ' ') AS w
+          FROM benchmark WHERE text IS NOT NULL),
+        starts AS (
+          SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i
+          FROM item_words WHERE w <> ['']),
+        windows AS MATERIALIZED (
+          SELECT DISTINCT item_id, w[i:i + 9] AS gram, len(w[i:i + 9]) AS n FROM starts),
+        doc_words AS MATERIALIZED (
+          SELECT doc_id, CASE WHEN w = [''] THEN [] ELSE w END AS w FROM (
+            SELECT doc_id, string_split(trim(regexp_replace(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^0-9a-z\\x{80}-\\x{10FFFF}]+', ' ', 'g')), ' ') AS w
+            FROM documents)),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        places AS (
+          SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w
+          FROM doc_words, lengths WHERE len(w) >= n),
+        found AS MATERIALIZED (
+          SELECT p.doc_id, p.i, p.n, x.item_id
+          FROM (SELECT doc_id, i, n, w[i:i + n - 1] AS gram FROM places) p
+          JOIN windows x ON x.gram = p.gram),
+        hits AS (
+          SELECT doc_id, count(DISTINCT j) AS n_hit FROM (
+            SELECT doc_id, unnest(range(i, i + n)) AS j FROM found) GROUP BY doc_id),
+        items AS (
+          SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (
+            SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit,
+               coalesce(x.n_items, 0) AS n_items, sha256(coalesce(x.names, '')) AS items_sha256,
+               coalesce(h.n_hit, 0) > 0 AS contaminated
+        FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items x USING (doc_id)""",
+}
