@@ -13,9 +13,15 @@ from ..session import checkpoint_dir
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured (tests)."""
+    """The shared folder the cluster names.
+
+    A session on one machine (tests, benchmarks) may leave it out and gets a temporary folder.  On a
+    cluster there is no default: executors would each write to their own disk.
+    """
     root = checkpoint_dir(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="docrecords-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
