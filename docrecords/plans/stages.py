@@ -20,7 +20,7 @@ def stage_root(spark: SparkSession) -> str:
     """
     root = checkpoint_dir(spark)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="docrecords-")
         spark.conf.set("spark.checkpoint.dir", root)
