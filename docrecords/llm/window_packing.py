@@ -18,6 +18,7 @@ windows of their own; repeated rows are packed as documents of their own; an emp
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,6 +81,12 @@ class TextEncoder:
         return self._encode(pieces[0]) + b"".join(map(self.pieces.__getitem__, pieces[1:]))
 
 
+@lru_cache(maxsize=4)
+def text_encoder(path: str) -> TextEncoder:
+    """One encoder for all tasks of a worker process, so that its pieces are kept."""
+    return TextEncoder(path)
+
+
 def _whole(pieces: list[str]) -> list[str]:
     """Join pieces where the blank between them follows other white space."""
     out = [pieces[0]]
@@ -205,7 +212,7 @@ def pack(
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        encode = TextEncoder(tokenizer_path)
+        encode = text_encoder(tokenizer_path)
         rows: list[tuple] = []
         sequence = TaskContext.get().partitionId() << 32
 
