@@ -125,7 +125,7 @@ def license_scan(
     """
     phrases = BASE_PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
-    worded = _words(without(docs, [*_OUT, "_plain", "_w", "_pad"]), text)
+    worded = _words(without(docs, [*_OUT, "_plain", "_w", "_pad", "_held"]), text)
     split_up = [(label, template_words(t), template_words(key)) for label, t, key in templates]
     vocabulary = sorted({w for _, words, _ in split_up for w in words})
     frequency = document_frequency(worded, vocabulary)
@@ -196,13 +196,20 @@ def _base_places(df: DataFrame, phrases: dict[str, str]) -> tuple[DataFrame, lis
 def _template_places(df, split_up, frequency, indexed) -> tuple[DataFrame, list]:
     """For each template, the share of looked-up words that agree on a verified place, else 0."""
     found = []
+    rarest = [
+        sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:indexed] for _, words, _ in split_up
+    ]
+    # The second side is hashed: it is the small one here, so a text's words are only walked.
+    df = df.withColumn(
+        "_held", F.array_intersect(F.col("_w"), _strings(sorted({w for r in rarest for w in r})))
+    )
     for k, (label, words, key) in enumerate(split_up):
-        rare = sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:indexed]
+        rare = rarest[k]
         postings = {w: [i for i, x in enumerate(words) if x == w] for w in rare}
         top, places = f"_top{k}", f"_at{k}"
         # array_intersect keeps the order of its first side: rarest first.
         df = df.withColumn(
-            top, F.slice(F.array_intersect(_strings(rare), F.col("_w")), 1, LOOKED_UP)
+            top, F.slice(F.array_intersect(_strings(rare), F.col("_held")), 1, LOOKED_UP)
         )
         index = F.create_map(
             *[x for w, at in postings.items() for x in (F.lit(w), F.array(*map(F.lit, at)))]
