@@ -104,7 +104,7 @@ def op9_decontaminate(spark, sf_dir):
 
 def op10_weak_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return weak_rules.quality_votes(docs).drop("text")
+    return weak_rules.quality_votes(docs, keep_text=False)
 
 
 QUERIES = {

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import shared_stage, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -168,12 +168,17 @@ def _posterior(odds: tuple[float, list], votes: tuple) -> float:
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
 
-def quality_votes(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """`docs` with the measured counts, the votes, the posterior and the verdict `kept`."""
+def quality_votes(docs: DataFrame, *, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """`docs` with the measured counts, the votes, the posterior and the verdict `kept`.
+
+    The votes are read twice, to learn and to judge, so they are written as a table once; without
+    `keep_text` the texts are not among its columns.
+    """
     votes = [f"vote_{name}" for name in RULES]
     counted = measured(docs, text)
     counted = without(counted, [*votes, "quality_posterior", "kept"])
     voted = counted.withColumns({f"vote_{k}": rule(counted) for k, rule in RULES.items()})
+    voted = shared_stage(voted if keep_text else voted.drop(text), "votes")
     rows = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
     patterns = {tuple(r[v] for v in votes): r["n"] for r in rows}
     prior, odds = fit(patterns, [BOTH_WAYS if name in VOTES_FOR else FAULT for name in RULES])
