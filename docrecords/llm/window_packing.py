@@ -16,6 +16,7 @@ Results for odd inputs: null and empty texts consist of the end id alone; very l
 windows of their own; repeated rows are packed as documents of their own; an empty table gives none.
 """
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -34,6 +35,10 @@ CACHED_PIECES = 400_000
 CACHED_CHARS = 48
 
 _ID_BYTES = 4
+# Fixed value: how byte-level tokenizers of this kind split a text before merging.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Printable ASCII, line breaks, tabs and Latin letters that every version of Unicode has.
+_PLAIN = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*")
 _BEFORE_BLANK = re.compile(r"\s ")
 
 _PIECES = (
@@ -59,6 +64,32 @@ class PieceIds(dict):
         return ids
 
 
+def _merge_encoding(path: str):
+    """The same vocabulary as merge ranks, for a byte-level tokenizer whose ids are its merge order.
+
+    It gives equal ids faster, but its classes of characters may follow another version of Unicode, so
+    it is used for `_PLAIN` texts only.  None for any other tokenizer.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocabulary, before = spec["model"].get("vocab"), spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True)
+    if not plain or before.get("add_prefix_space") or spec.get("normalizer") or spec["model"]["type"] != "BPE":
+        return None
+    merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
+    if any(vocabulary.get(m.replace(" ", "", 1)) != 256 + k for k, m in enumerate(merges)):
+        return None
+    import tiktoken
+
+    # Byte-level vocabularies write the bytes without a printable character as those from 256 on.
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(printable)]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in t): k for t, k in vocabulary.items() if t not in special}
+    return tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class TextEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,10 +97,14 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens in a text are text.
         self.tokenizer.encode_special_tokens = True
+        self.merges = _merge_encoding(path)
         self.pieces = PieceIds(self._encode)
 
     def _encode(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if self.merges and _PLAIN.fullmatch(text):
+            ids = self.merges.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
