@@ -19,6 +19,10 @@ holds nodes of different components, these are compared with each other across t
 completes the links.  So copies and near copies cost a comparison each, and no link that joins two
 components is lost.
 
+Comparisons.  A sketch counts a set's elements in `SKETCH` cells.  The differences of two sketches are
+never more than those of the sets, so pairs whose sizes or sketches differ too much are dropped exactly;
+only for the others are the whole sets made again from the texts and moved.
+
 Results for odd inputs: null texts and texts without words have no shingles and stay alone; fewer words
 than a shingle make one shingle; rows that repeat a document are in its component; a null id counts as
 larger than any other; an empty table gives no rows.  Sets are told apart by a 64-bit hash.
@@ -41,6 +45,7 @@ PARTS = 3
 SPARE = 2
 BAND_RATIO = 1.5
 CACHED_WORDS = 200_000
+SKETCH = 256
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -145,11 +150,21 @@ def _sets(docs: DataFrame, convert, schema: str, *keys: str) -> DataFrame:
     return docs.select(*keys, F.col("text")).mapInArrow(run, schema)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    cells = (shingles >> np.uint64(56)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def _node_rows(batch, sets, seen):
     nodes = [set_key(s) if len(s) else None for s in sets]
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64())],
-        names=["doc_id", "n_shingles", "node"],
+        [
+            batch.column(0),
+            pa.array(map(len, sets), pa.int64()),
+            pa.array(nodes, pa.int64()),
+            pa.array(map(sketch, sets), pa.binary()),
+        ],
+        names=["doc_id", "n_shingles", "node", "sketch"],
     )
 
 
@@ -205,6 +220,30 @@ def bucket_stars(signed: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "sig long, leader long, member long")
 
 
+def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            x, y = (
+                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH)
+                for k in (3, 5)
+            )
+            apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
+            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            keep &= (100 + percent) * apart <= (100 - percent) * (na + nb)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    a = known.toDF("a", "na", "x")
+    b = known.toDF("b", "nb", "y")
+    both = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "x", "nb", "y")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that link."""
 
@@ -248,23 +287,24 @@ def jaccard_links(
 
     The links are those that were needed: every pair of similar nodes is joined by a path of them.
     """
+    key = docs.select("doc_id").schema.simpleString()[7:-1]
     nodes = shared_stage(
-        _sets(docs, _node_rows, docs.select("doc_id").schema.simpleString()[7:-1] + ", n_shingles long, node long", "doc_id"),
-        "nodes",
-    )
-    firsts = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
+        _sets(docs, _node_rows, f"{key}, n_shingles long, node long, sketch binary", "doc_id"), "nodes"
+    )
+    known = nodes.filter(F.col("node").isNotNull())
+    firsts = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     signed = _sets(docs, _signature_rows(percent, parts), "sig long, node long")
     stars = shared_stage(bucket_stars(signed), "stars")
 
-    tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
-    wanted = tested.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = shared_stage(_fetch_sets(docs, firsts, wanted), "sets")
-    links = shared_stage(_verified(tested, sets, percent), "links")
-    open_pairs = shared_stage(_across(stars, components(links)), "open")
-    if open_pairs.isEmpty():
-        return nodes, links
-    more = shared_stage(_verified(open_pairs, sets, percent), "more_links")
-    return nodes, links.union(more)
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        possible = shared_stage(_possible(pairs, known, percent), f"{name}_pairs")
+        wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = shared_stage(_fetch_sets(docs, firsts, wanted), f"{name}_sets")
+        return shared_stage(_verified(possible, sets, percent), f"{name}_links")
+
+    links = linked(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "star")
+    across = _across(stars, components(links))
+    return nodes, links.union(linked(across, "across"))
 
 
 def _across(stars: DataFrame, labels: DataFrame) -> DataFrame:
