@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, blank_words, text_bytes
 
-SAMPLE = 6000
+SAMPLE = 4000
 NEIGHBOURS = 25
 RANK = 48
 SHARPNESS = 16
@@ -84,8 +84,10 @@ class LatentVectors:
         self.labels = np.array(labels, np.float32)
         if not texts:
             return
-        counts = np.stack([term_counts(t) for t in texts])
-        held = (counts > 0).sum(axis=0)
+        counts = np.empty((len(texts), TERMS), np.float32)
+        for k, text in enumerate(texts):
+            counts[k] = term_counts(text)
+        held = np.count_nonzero(counts, axis=0)
         self.weights = np.log((len(texts) + 1) / (held + 1)).astype(np.float32) + 0.1
         counts *= self.weights
         self.directions = _directions(counts, min(rank, len(texts)))
@@ -129,7 +131,9 @@ def fit(
         .limit(sample)
         .collect()
     )
-    return LatentVectors([r["text"] and bytes(r["text"]) for r in rows], [r["label"] for r in rows])
+    texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    return LatentVectors(texts, labels)
 
 
 def score(
