@@ -121,19 +121,33 @@ def _directions(rows: np.ndarray, rank: int) -> np.ndarray:
 
 
 def fit(
-    labelled: DataFrame, *, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    text: str = "text",
+    label: str = "label",
+    key: str = "doc_id",
+    sample: int = SAMPLE,
 ) -> LatentVectors:
-    """Learn from at most `sample` labelled rows, those whose key hashes lowest."""
+    """Learn from at most `sample` of the labels (key, label), those whose key hashes lowest.
+
+    They are chosen by key alone; their number is bounded, so they are broadcast to the documents.
+    """
+    own = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).alias("_label"))
+    chosen = (
+        own.join(docs.select(key).distinct(), key).orderBy(F.xxhash64(key), key, "_label").limit(sample)
+    )
+    chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
     rows = (
-        labelled.filter(F.col(label).isNotNull())
-        .select(F.col(text).cast("binary").alias("text"), F.col(label).alias("label"), key)
-        .orderBy(F.xxhash64(key, "text"), key)
+        docs.select(key, F.col(text).cast("binary").alias("_text"))
+        .join(F.broadcast(chosen), key)
+        .select("_text", "_label")
         .limit(sample)
         .collect()
     )
-    texts, labels = [r["text"] for r in rows], [r["label"] for r in rows]
+    texts, own_labels = [r["_text"] for r in rows], [r["_label"] for r in rows]
     del rows
-    return LatentVectors(texts, labels)
+    return LatentVectors(texts, own_labels)
 
 
 def score(

@@ -17,15 +17,15 @@ from . import (
 from .common import fold_of, table
 
 
-def quality_labels(docs, labels):
-    """(doc_id, text, label) of the labelled documents outside the held-out fold."""
-    own = labels.select("doc_id", F.col("quality").alias("label"))
-    return docs.filter(fold_of(F.col("doc_id"), 5) != 0).join(own, "doc_id")
+def quality_labels(labels):
+    """(doc_id, label) outside the held-out fold."""
+    learned = labels.filter(fold_of(F.col("doc_id"), 5) != 0)
+    return learned.select("doc_id", F.col("quality").alias("label"))
 
 
 def op1_neighbour_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = neighbour_quality.fit(quality_labels(docs, table(spark, sf_dir, "labels")))
+    model = neighbour_quality.fit(docs, quality_labels(table(spark, sf_dir, "labels")))
     return neighbour_quality.score(docs, model).select(
         "doc_id",
         F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out"),
