@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import add_columns, shared_stage
 
-WORDS_TOTAL = 200_000
-GRAMS_TOTAL = 100_000
+WORDS_TOTAL = 80_000
+GRAMS_TOTAL = 60_000
 LONGEST = 4
 FLUSH_AT = 200_000
 SMOOTH = 0.5
