@@ -296,19 +296,20 @@ def jaccard_links(
     signed = _sets(docs, _signature_rows(percent, parts), "sig long, node long")
     stars = shared_stage(bucket_stars(signed), "stars")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        possible = shared_stage(_possible(pairs, known, percent), f"{name}_pairs")
+    def linked(possible: DataFrame, name: str) -> DataFrame:
+        possible = shared_stage(possible, f"{name}_pairs")
         wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = shared_stage(_fetch_sets(docs, firsts, wanted), f"{name}_sets")
         return shared_stage(_verified(possible, sets, percent), f"{name}_links")
 
-    links = linked(stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct(), "star")
-    across = _across(stars, components(links))
+    tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    links = linked(_possible(tested, known, percent), "star")
+    across = _across(stars, components(links), known, percent)
     return nodes, links.union(linked(across, "across"))
 
 
-def _across(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members, the leader aside, in different components."""
+def _across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members, the leader aside, in different components, that may link."""
     label_of = labels.select(F.col("node").alias("member"), F.col("label").alias("own"))
     leader_of = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead"))
     labelled = (
@@ -325,13 +326,54 @@ def _across(stars: DataFrame, labels: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")
     ).filter((F.col("n") > 1) & (F.col("low") != F.col("high")))
     rows = labelled.join(mixed_up.select("sig"), "sig", "left_semi").select("sig", "member", "own")
-    other = rows.select("sig", F.col("member").alias("b"), F.col("own").alias("b_own"))
-    return (
-        rows.join(other, "sig")
-        .filter((F.col("member") < F.col("b")) & (F.col("own") != F.col("b_own")))
-        .select(F.col("member").alias("a"), "b")
-        .distinct()
-    )
+    known = nodes.select(F.col("node").alias("member"), "n_shingles", "sketch").dropDuplicates(["member"])
+    sketched = rows.join(known, "member").select("sig", "member", "own", "n_shingles", "sketch")
+
+    def run(batches):
+        sig, held = None, []
+        for batch in batches:
+            sigs = batch.column(0).to_numpy()
+            if not len(sigs):
+                continue
+            cuts = [0, *(np.flatnonzero(sigs[1:] != sigs[:-1]) + 1).tolist(), len(sigs)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and sigs[start] != sig:
+                    yield from _bucket_pairs(held, percent)
+                    held = []
+                sig = sigs[start]
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield from _bucket_pairs(held, percent)
+
+    ordered = sketched.repartition("sig").sortWithinPartitions("sig", "member")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
+
+
+PAIRS_AT_ONCE = 50_000
+
+
+def _bucket_pairs(held: list[pa.RecordBatch], percent: int):
+    """Pairs of one bucket's members across components whose sizes and sketches allow a link.
+
+    Pairs are formed and tested in blocks; only those that pass leave the task.
+    """
+    rows = pa.Table.from_batches(held)
+    member, own, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+    cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    step = max(1, PAIRS_AT_ONCE // len(member))
+    for start in range(0, len(member), step):
+        i = np.arange(start, min(start + step, len(member)))[:, None]
+        near = (np.arange(len(member)) > i) & (own != own[i])
+        near &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        x, y = np.nonzero(near)
+        x += start
+        apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(axis=1, dtype=np.int64)
+        keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        if keep.any():
+            a, b = member[x[keep]], member[y[keep]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+            )
 
 
 def similar_groups(
