@@ -132,7 +132,7 @@ def typed(source: str, name: str) -> str:
     return f"""
 {name} AS (
   SELECT *,
-    CASE WHEN eff <> '' AND type NOT IN ('object','array') THEN left(eff, 8000) END AS value_text,
+    CASE WHEN eff <> '' AND type NOT IN ('object','array') THEN eff END AS value_text,
     CASE WHEN type IN ('decimal','integer') AND regexp_matches(eff, '{DEC}') THEN eff::DECIMAL(38,6) END AS value_numeric,
     CASE WHEN type IN ('date','datetime') AND regexp_matches(eff, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN left(eff, 10) END AS value_date,
     CASE WHEN type = 'boolean' AND eff <> '' THEN lower(eff) IN ('true','yes') END AS value_boolean

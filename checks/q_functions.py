@@ -43,12 +43,12 @@ v_texts AS (
 
 
 def camel(x):
-    return f"""coalesce(nullif(left(array_to_string(list_transform(string_split(trim(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')), ' '),
-      lambda w, i: CASE WHEN i = 1 THEN lower(w) ELSE upper(left(w, 1)) || lower(substr(w, 2)) END), ''), 48), ''), 'field')"""
+    return f"""coalesce(nullif(array_to_string(list_transform(string_split(trim(regexp_replace({x}, '[^A-Za-z0-9]+', ' ', 'g')), ' '),
+      lambda w, i: CASE WHEN i = 1 THEN lower(w) ELSE upper(left(w, 1)) || lower(substr(w, 2)) END), ''), ''), 'field')"""
 
 
 def snake(x):
-    return f"coalesce(nullif(left(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_'), 64), ''), 'schema')"
+    return f"coalesce(nullif(trim(regexp_replace(lower({x}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'schema')"
 
 
 def up1(x):

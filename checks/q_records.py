@@ -191,11 +191,11 @@ def _(spark, sf):
 @check(
     "q12_sorted_rank",
     O.sql(SEL, f"""SELECT doc_id, {sqldec('total')}, row_number() OVER (ORDER BY total DESC NULLS LAST, doc_id) AS position
-      FROM v_sel WHERE {TRUST} ORDER BY position LIMIT 500"""),
+      FROM v_sel WHERE {TRUST} ORDER BY position"""),
 )
 def _(spark, sf):
     rows = matches(spark, sf)
-    top = rows.orderBy(*records.sort_columns("total", "desc")).limit(500)
+    top = rows.orderBy(*records.sort_columns("total", "desc"))
     return top.select("doc_id", dec("total"), F.expr("row_number() OVER (ORDER BY total DESC NULLS LAST, doc_id)").cast("bigint").alias("position"))
 
 
@@ -250,12 +250,12 @@ top4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER B
 cells AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sort_order, field_id) AS cell_no FROM sv
   WHERE doc_id NOT IN (SELECT doc_id FROM top4)),
 cells2 AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS cnt, regexp_extract(path, '^([A-Za-z0-9_]+)\\[(\\d+)\\]\\.(.+)\\z', 1) AS ak,
-   regexp_extract(path, '^([A-Za-z0-9_]+)\\[(\\d+)\\]\\.(.+)\\z', 2) AS idx FROM cells WHERE cell_no <= 200),
+   regexp_extract(path, '^([A-Za-z0-9_]+)\\[(\\d+)\\]\\.(.+)\\z', 2) AS idx FROM cells),
 rep AS (SELECT *, first_value(idx) OVER (PARTITION BY doc_id ORDER BY cell_no) AS first_idx,
   first_value(ak) OVER (PARTITION BY doc_id ORDER BY cell_no) AS first_ak FROM cells2 WHERE ak <> '' AND value <> ''),
 tab AS (
   SELECT doc_id, 1 AS rank, first_ak || 'Count' AS key, 'Records' AS label,
-    count(DISTINCT idx)::VARCHAR || CASE WHEN max(cnt) = 200 THEN '+' ELSE '' END AS value FROM rep GROUP BY doc_id, first_ak
+    count(DISTINCT idx)::VARCHAR AS value FROM rep GROUP BY doc_id, first_ak
   UNION ALL
   SELECT doc_id, rn + 1, key, label, value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cell_no) AS rn FROM rep
     WHERE idx = first_idx) WHERE rn <= 2)"""

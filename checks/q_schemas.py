@@ -386,7 +386,7 @@ def _(spark, sf):
       coalesce(value_date, CASE WHEN type IN ('date','datetime') AND regexp_matches(vt, '{O.ISO}') THEN vt END) AS value_date,
       CASE WHEN type = 'boolean' THEN CASE WHEN lower(vt) IN ('true','yes') THEN true WHEN lower(vt) IN ('false','no') THEN false END END AS value_boolean
       FROM (SELECT * REPLACE (CASE WHEN field_id % 2 = 0 THEN value_numeric END AS value_numeric, CASE WHEN field_id % 2 = 0 THEN value_date END AS value_date),
-        coalesce(CASE WHEN field_id % 2 = 0 THEN value_text END, left(coalesce(corrected_value, extracted_value), 8000)) AS vt FROM v_t)"""),
+        coalesce(CASE WHEN field_id % 2 = 0 THEN value_text END, coalesce(corrected_value, extracted_value)) AS vt FROM v_t)"""),
 )
 def _(spark, sf):
     keep = F.col("field_id") % 2 == 0

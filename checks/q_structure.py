@@ -97,7 +97,7 @@ v_fallf AS (SELECT doc_id, 3 AS stage, 0 AS major, minor, -1 AS row_no, -1 AS co
    origin AS value_origin, value, score AS confidence_score, start, "end", true AS grounded FROM (
    SELECT b.doc_id, 0 AS minor, 'title' AS key, 'Title' AS label, 'string' AS type, 'inferred' AS origin, t.text AS value, 0.6 AS score, t.start, t."end" FROM v_bare b JOIN
      (SELECT doc_id, arg_min(text, block_no) AS text, arg_min(start, block_no) AS start, arg_min("end", block_no) AS "end" FROM v_blocks WHERE kind = 'heading' GROUP BY doc_id) t ON t.doc_id = b.doc_id
-   UNION ALL SELECT doc_id, 1, 'content', 'Content', 'text', 'extracted', left(text, 4000), 0.45, 0, length(left(text, 4000)) FROM v_bare)),
+   UNION ALL SELECT doc_id, 1, 'content', 'Content', 'text', 'extracted', text, 0.45, 0, length(text) FROM v_bare)),
 v_all AS MATERIALIZED (SELECT * FROM v_struct UNION ALL SELECT * FROM v_fallf)"""
 BASE = [*X.PARSE, X.KV, X.BLOCKS, X.TABLES, NARRATIVE, CAND]
 FULL = [*BASE, KVF, COLS, TABF, NARF, FALL]
@@ -396,8 +396,8 @@ def _(spark, sf):
 
 @check(
     "x17_route_low_coverage",
-    O.sql([*FULL, QUALITY], """SELECT doc_id, reason NOT IN ('structural_sufficient','empty','over_page_cap','over_char_cap') AS open, reason FROM (SELECT q.doc_id,
-      CASE WHEN length(d.text) // 300 > 50 THEN 'over_page_cap' WHEN length(d.text) > 200000 THEN 'over_char_cap' WHEN length(d.text) < 8 THEN 'empty' WHEN usable_leaves < 3 AND NOT has_usable_table THEN 'adhoc_sparse'
+    O.sql([*FULL, QUALITY], """SELECT doc_id, reason NOT IN ('structural_sufficient','empty') AS open, reason FROM (SELECT q.doc_id,
+      CASE WHEN length(d.text) < 8 THEN 'empty' WHEN usable_leaves < 3 AND NOT has_usable_table THEN 'adhoc_sparse'
       WHEN usable_ratio < 0.5 THEN 'adhoc_low_coverage' ELSE 'structural_sufficient' END AS reason FROM v_q q JOIN v_docs_text d ON d.doc_id = q.doc_id)"""),
 )
 def _(spark, sf):

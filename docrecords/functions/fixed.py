@@ -35,8 +35,6 @@ FORMAT_BY_MIME = {
     "text/tab-separated-values": "csv",
     "text/html": "html",
 }
-MAX_UPLOAD_BYTES = 5 * 1024 * 1024
-BINARY_PROBE_BYTES = 4096
 PARSER_VERSION = "parse.v1"
 
 # Named HTML entities that are decoded; every other name stays as written.
@@ -68,7 +66,6 @@ TRUE_WORD = r"(?i)^(?:true|yes)\z"
 FALSE_WORD = r"(?i)^(?:false|no)\z"
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 LONG_TEXT_CHARS = 120
-VALUE_TEXT_CHARS = 8000
 NUMERIC_TYPES = ("decimal", "integer")
 DATE_TYPES = ("date", "datetime")
 NESTED_TYPES = ("object", "array")
@@ -103,12 +100,7 @@ CONFIDENCE_WEIGHT = {"conflicting": 60, "missing": 50, "low": 25, "inferred": 12
 REQUIRED_WEIGHT = 20
 MATERIAL_WEIGHT = 15
 
-# Costlier-pass caps.
-MAX_PAGES = 50
-MAX_INPUT_CHARS = 200_000
-MAX_INPUT_TOKENS = 50_000
-CHUNK_CHARS = 24_000
-MAX_CHUNKS = 8
+# Least text a costlier pass can work on.
 MIN_INPUT_CHARS = 8
 
 # Failure codes after which a retry is pointless.

@@ -7,7 +7,6 @@ from . import fixed as V
 from .text import trim_ws
 
 MONEY = "decimal(38,4)"
-FACTOR = "decimal(18,4)"
 
 
 def is_decimal_string(col: Column) -> Column:
@@ -27,16 +26,29 @@ def to_money(col: Column) -> Column:
 
 
 def to_factor(col: Column) -> Column:
-    """Operand of `multiply_money` (18 digits, so that a product keeps its exact scale)."""
-    return _cut(col).try_cast(FACTOR)
+    """Operand of `multiply_money`."""
+    return to_money(col)
 
 
 def multiply_money(a: Column, b: Column) -> Column:
-    """Product of two `to_factor` values, cut (not rounded) to four decimals."""
-    exact = a * b
-    scaled = F.floor(F.abs(exact) * F.lit(10000).cast("decimal(5,0)"))
-    cut = scaled.cast(MONEY) / F.lit(10000)
-    return (F.when(exact < 0, -cut).otherwise(cut)).cast(MONEY)
+    """Product of two `to_factor` values, cut (not rounded) to four decimals.
+
+    Whole and fractional parts are multiplied apart, in ten-thousandths, so that no digit is lost;
+    null when the product has more than 34 integer digits.
+    """
+    scale = F.lit(10000).cast("decimal(5,0)")
+    one = F.lit(1).cast("decimal(1,0)")
+
+    def parts(x: Column) -> tuple[Column, Column]:
+        return F.floor(F.abs(x)).cast("decimal(34,0)"), ((F.abs(x) % one) * scale).cast("decimal(4,0)")
+
+    (wa, fa), (wb, fb) = parts(a), parts(b)
+    terms = [F.try_multiply(F.try_multiply(wa, wb), scale), F.try_multiply(wa, fb), F.try_multiply(wb, fa)]
+    total = F.floor(fa * fb / scale).cast("decimal(38,0)")
+    for term in terms:
+        total = F.try_add(total, term)
+    cut = (total * F.lit("0.0001").cast("decimal(4,4)")).cast(MONEY)
+    return F.when((a < 0) != (b < 0), -cut).otherwise(cut)
 
 
 def to_cents(value: Column) -> Column:

@@ -27,20 +27,18 @@ def upper_first(col: Column) -> Column:
 
 
 def slug_camel(label: Column) -> Column:
-    """`Invoice No.` -> `invoiceNo`; at most 48 characters, `field` when nothing is left."""
+    """`Invoice No.` -> `invoiceNo`; `field` when nothing is left."""
     words = F.trim(F.regexp_replace(label, "[^A-Za-z0-9]+", " "))
     first = F.substring_index(words, " ", 1)
     rest = F.regexp_replace(words, "^[^ ]*", "")
-    slug = F.left(
-        F.concat(F.lower(first), F.replace(F.initcap(rest), F.lit(" "), F.lit(""))), F.lit(48)
-    )
+    slug = F.concat(F.lower(first), F.replace(F.initcap(rest), F.lit(" "), F.lit("")))
     return F.when(words == "", F.lit("field")).otherwise(slug)
 
 
 def slug_snake(text: Column) -> Column:
-    """`Invoice No.` -> `invoice_no`; at most 64 characters, `schema` when nothing is left."""
+    """`Invoice No.` -> `invoice_no`; `schema` when nothing is left."""
     snake = F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_")
-    snake = F.left(F.regexp_replace(snake, r"^_+|_+\z", ""), F.lit(64))
+    snake = F.regexp_replace(snake, r"^_+|_+\z", "")
     return F.when(snake == "", F.lit("schema")).otherwise(snake)
 
 

@@ -54,10 +54,7 @@ def typed_index(field_type: Column, value: Column) -> dict[str, Column]:
         value.try_cast("decimal(38,6)"),
     )
     return {
-        "value_text": F.when(
-            (value != "") & ~field_type.isin(*V.NESTED_TYPES),
-            F.left(value, F.lit(V.VALUE_TEXT_CHARS)),
-        ),
+        "value_text": F.when((value != "") & ~field_type.isin(*V.NESTED_TYPES), value),
         "value_numeric": numeric,
         "value_date": F.when(
             field_type.isin(*V.DATE_TYPES) & value.rlike(V.ISO_DATE_PREFIX), F.left(value, F.lit(10))

@@ -505,9 +505,12 @@ def _loose_pattern(quote: Column) -> Column:
 
 
 def resolve_quotes(quotes: DataFrame, parses: DataFrame) -> DataFrame:
-    """Locate quotes in the text of their document: exactly, else ignoring case and white space."""
+    """Locate quotes in the text of their document: exactly, else ignoring case and white space.
+
+    A quote whose document has no parse is unresolved.
+    """
     q = trim_ws(F.col("quote"))
-    joined = quotes.join(parses.select("doc_id", "text"), "doc_id")
+    joined = quotes.join(parses.select("doc_id", "text"), "doc_id", "left")
     exact = F.instr(F.col("text"), q)
     located = joined.withColumn("_exact", exact)
     # The loose search runs only where the exact one failed.

@@ -18,7 +18,6 @@ from ..sources.files import detect_format
 
 INVOICE_TYPE = "invoice"
 SUMMARY_VALUES = 4
-SUMMARY_CELLS = 200
 FIRST_ROW_CELLS = 2
 
 
@@ -403,61 +402,41 @@ def summary_values(docs: DataFrame, fields: DataFrame, scope: str = "approved")
 
 
 def table_summaries(docs: DataFrame, fields: DataFrame, scope: str = "approved") -> DataFrame:
-    """Fallback for documents with repeated records only: record count and two first-row cells.
-
-    Counts look at the first 200 scalar fields, and say so with a `+`; that limit is the feature.
-    """
+    """Fallback for documents with repeated records only: record count and two first-row cells."""
     candidates = _summary_candidates(docs, fields, scope)
     covered = candidates.filter(
         ~F.col("path").contains("[") & (F.col("value") != "")
     ).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("sort_order", "field_id")
-    cells = (
-        candidates.withColumn("cell_no", F.row_number().over(order))
-        .filter(F.col("cell_no") <= SUMMARY_CELLS)
-        .join(covered, "doc_id", "left_anti")
-    )
-    repeated = F.col("path").rlike(RECORD_PATH) & (F.col("value") != "")
-    per_doc = cells.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.count_distinct(
-            F.when(repeated, F.regexp_extract("path", RECORD_PATH, 2))
-        ).alias("records"),
-        F.sort_array(
-            F.collect_list(
-                F.when(
-                    repeated,
-                    F.struct(
-                        "cell_no",
-                        F.regexp_extract("path", RECORD_PATH, 1).alias("array_key"),
-                        F.regexp_extract("path", RECORD_PATH, 2).alias("idx"),
-                        "key",
-                        "label",
-                        "value",
-                    ),
-                )
-            )
-        ).alias("found"),
-    ).filter(F.col("records") > 0)
-    first = F.element_at("found", 1)
-    row = F.slice(F.filter("found", lambda c: c["idx"] == first["idx"]), 1, FIRST_ROW_CELLS)
-    more = F.when(F.col("cells") == SUMMARY_CELLS, "+").otherwise("")
-    count_entry = F.struct(
-        F.concat(first["array_key"], F.lit("Count")).alias("key"),
-        F.lit("Records").alias("label"),
-        F.concat(F.col("records").cast("string"), more).alias("value"),
+    repeated = (
+        candidates.join(covered, "doc_id", "left_anti")
+        .filter(F.col("path").rlike(RECORD_PATH) & (F.col("value") != ""))
+        .withColumns(
+            {
+                "array_key": F.regexp_extract("path", RECORD_PATH, 1),
+                "idx": F.regexp_extract("path", RECORD_PATH, 2),
+            }
+        )
     )
-    entries = F.concat(
-        F.array(count_entry),
-        F.transform(row, lambda c: F.struct(c["key"].alias("key"), c["label"], c["value"])),
+    per_doc = repeated.groupBy("doc_id").agg(
+        F.count_distinct("idx").alias("records"),
+        F.min_by(F.struct("array_key", "idx"), F.struct("sort_order", "field_id")).alias("first"),
     )
-    return per_doc.select("doc_id", F.posexplode(entries).alias("pos", "entry")).select(
+    counts = per_doc.select(
         "doc_id",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("entry.key").alias("key"),
-        F.col("entry.label").alias("label"),
-        F.col("entry.value").alias("value"),
+        F.lit(1).alias("rank"),
+        F.concat("first.array_key", F.lit("Count")).alias("key"),
+        F.lit("Records").alias("label"),
+        F.col("records").cast("string").alias("value"),
+    )
+    order = Window.partitionBy("doc_id").orderBy("sort_order", "field_id")
+    row = (
+        repeated.join(per_doc, "doc_id")
+        .filter(F.col("idx") == F.col("first.idx"))
+        .withColumn("cell_no", F.row_number().over(order))
+        .filter(F.col("cell_no") <= FIRST_ROW_CELLS)
+        .select("doc_id", (F.col("cell_no") + 1).alias("rank"), "key", "label", "value")
     )
+    return counts.unionByName(row)
 
 
 def open_issue_counts(docs: DataFrame, fields: DataFrame) -> DataFrame:

@@ -134,11 +134,17 @@ def line_math(fields: DataFrame) -> DataFrame:
     rows = fields.withColumns({"_line": line, "_column": column}).withColumns(
         {"_qty": cell("quantity"), "_unit": cell("unitPrice"), "_total": cell("lineTotal")}
     )
-    product = multiply_money(to_factor(F.col("_qty")), to_factor(F.col("_unit")))
+    quantity, unit = to_factor(F.col("_qty")), to_factor(F.col("_unit"))
+    rows = rows.withColumns(
+        {"_product": multiply_money(quantity, unit), "_factors": quantity.isNotNull() & unit.isNotNull()}
+    )
+    product = F.col("_product")
     off = (
         F.col("_line").isNotNull()
         & (F.col("_column") == "lineTotal")
-        & ~equals_cents(product, to_money(F.col("_total")))
+        # A product that no recorded total can hold is off as well.
+        & F.coalesce(~equals_cents(product, to_money(F.col("_total"))), F.col("_factors"))
+        & to_money(F.col("_total")).isNotNull()
     )
     rows = rows.withColumn("_line_off", F.coalesce(off, F.lit(False)))
     message = F.when(
@@ -148,13 +154,13 @@ def line_math(fields: DataFrame) -> DataFrame:
             F.lit(" x "),
             normalize_decimal(F.col("_unit")),
             F.lit(" = "),
-            format_cents(product),
+            F.coalesce(format_cents(product), F.lit("a value beyond 34 digits")),
             F.lit(", but "),
             normalize_decimal(F.col("_total")),
             F.lit(" was recorded."),
         ),
     )
-    return _warn(rows, message, _NOT_INVALID).drop("_line", "_column", "_qty", "_unit", "_total")
+    return _warn(rows, message, _NOT_INVALID).drop("_line", "_column", "_qty", "_unit", "_total", "_product", "_factors")
 
 
 def subtotal_after_lines(fields: DataFrame) -> DataFrame:

@@ -24,7 +24,6 @@ from ..session import small_side
 from . import canonical
 
 DETAILS = "details"
-EXCERPT_CHARS = 4000
 SUMMARY_FIELDS = 4
 TRUSTED_SHARE = 0.6
 USABLE_SHARE = 0.5
@@ -398,7 +397,7 @@ def fields_from_lists(keyed: DataFrame) -> DataFrame:
 
 
 def fallback_fields(texts: DataFrame, lines: DataFrame, structured: DataFrame) -> DataFrame:
-    """Title and excerpt of documents in which nothing was found."""
+    """Title and whole text of documents in which nothing was found."""
     bare = texts.join(structured.select("doc_id").distinct(), "doc_id", "left_anti")
     heads = canonical.blocks(lines.filter(F.col("kind") == "heading"))
     title = heads.groupBy("doc_id").agg(
@@ -415,16 +414,15 @@ def fallback_fields(texts: DataFrame, lines: DataFrame, structured: DataFrame) -
         F.col("t.start").alias("start"),
         F.col("t.end").alias("end"),
     )
-    excerpt = F.left("text", F.lit(EXCERPT_CHARS))
     content_row = F.struct(
         F.lit("content").alias("key"),
         F.lit("Content").alias("label"),
         F.lit("text").alias("type"),
         F.lit("extracted").alias("value_origin"),
-        excerpt.alias("value"),
+        F.col("text").alias("value"),
         F.lit(EXCERPT_SCORE).alias("score"),
         F.lit(0).alias("start"),
-        F.length(excerpt).alias("end"),
+        F.length("text").alias("end"),
     )
     rows = titled.select(
         "doc_id", F.posexplode(F.array(title_row, content_row)).alias("minor", "r")
@@ -811,15 +809,9 @@ def overlay_candidates(base: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def route_reason(published: bool = False) -> Column:
-    """Why a document needs a costlier pass, or why not (`structural_sufficient`, `over_…`)."""
-    chars = F.col("chars")
-    tokens = F.ceil(F.least(chars, F.lit(V.CHUNK_CHARS * V.MAX_CHUNKS)) / 4)
-    reason = (
-        F.when(F.col("page_count") > V.MAX_PAGES, "over_page_cap")
-        .when(chars > V.MAX_INPUT_CHARS, "over_char_cap")
-        .when((tokens > V.MAX_INPUT_TOKENS) & (chars > V.MAX_INPUT_CHARS), "over_token_cap")
-        .when(chars < V.MIN_INPUT_CHARS, "empty")
-        .when(F.col("schema_fields") == 0, "schema_inference_failed")
+    """Why a document needs a costlier pass, or why not (`structural_sufficient`, `empty`)."""
+    reason = F.when(F.col("chars") < V.MIN_INPUT_CHARS, "empty").when(
+        F.col("schema_fields") == 0, "schema_inference_failed"
     )
     if published:
         poor = (F.col("material_usable_ratio") < 0.7) | F.col("any_material_unusable")
@@ -840,11 +832,14 @@ OPEN_REASONS = (
 def route_low_coverage(parses: DataFrame, quality: DataFrame, published: bool = False) -> DataFrame:
     """Documents with the decision whether a costlier pass is worth it.
 
-    `parses` is (doc_id, text, page_count, schema_fields).
+    `parses` is (doc_id, text, page_count, schema_fields).  A document without a quality row has no
+    usable field.
     """
     sized = parses.withColumn("chars", F.length("text")).drop("text")
     return (
-        sized.join(quality, "doc_id")
+        sized.join(quality, "doc_id", "left")
+        .fillna(0, [c for c in ("usable_leaves", "usable_ratio", "material_usable_ratio") if c in quality.columns])
+        .fillna(False, [c for c in ("has_usable_table", "any_material_unusable") if c in quality.columns])
         .withColumn("reason", route_reason(published))
         .select("doc_id", F.col("reason").isin(*OPEN_REASONS).alias("open"), "reason")
     )

@@ -79,3 +79,61 @@ def test_html(spark):
 
 def test_escape_like(spark):
     assert column(spark, ["50%_\\"], text.escape_like) == ["50\\%\\_\\\\"]
+
+
+def test_money_product_keeps_every_digit(spark):
+    from decimal import ROUND_DOWN, Decimal, localcontext
+
+    pairs = [
+        ("12345678901234567890", "3.1234"), ("-7", "0.0001"), ("0.0003", "0.0009"), ("-2.5", "-4"),
+        ("99999999999999999", "9999999999999999.9999"), ("-0.3333", "0.9999"), ("0", "-5"),
+    ]
+    rows = spark.createDataFrame(pairs, "a string, b string").select(
+        "a", "b", money.multiply_money(money.to_factor(F.col("a")), money.to_factor(F.col("b"))).alias("p")
+    )
+    with localcontext() as context:
+        context.prec = 80
+        for r in rows.collect():
+            assert r.p == (Decimal(r.a) * Decimal(r.b)).quantize(Decimal("0.0001"), ROUND_DOWN), r
+    huge = spark.createDataFrame([("9" * 30, "9" * 30)], "a string, b string")
+    product = money.multiply_money(money.to_factor(F.col("a")), money.to_factor(F.col("b")))
+    assert huge.select(product.alias("p")).first().p is None
+
+
+def test_long_values_and_deep_trees_are_whole(spark):
+    from docrecords.functions.text import slug_camel, slug_snake
+    from docrecords.functions.typing import typed_index
+    from docrecords.operators import canonical, schemas
+
+    long = spark.createDataFrame([("word " * 4000,)], "v string")
+    row = long.select(
+        typed_index(F.lit("text"), F.col("v"))["value_text"].alias("t"),
+        slug_camel(F.col("v")).alias("c"),
+        slug_snake(F.col("v")).alias("s"),
+    ).first()
+    assert len(row.t) == 20000 and len(row.c) == 16000 and len(row.s) == 19999
+    node = '{"key": "k6", "label": "{", "nodeKind": "scalar", "type": "string"}'
+    for level in range(5, 0, -1):
+        node = f'{{"key": "k{level}", "label": "L", "nodeKind": "object", "children": [{node}]}}'
+    versions = spark.createDataFrame([("v", f"[{node}]")], "schema_version_id string, definition string")
+    assert [r.leaf_key for r in schemas.schema_leaves(versions).collect()] == ["k1.k2.k3.k4.k5.k6"]
+    quotes = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, quote string")
+    parses = spark.createDataFrame([(1, "x a")], "doc_id int, text string")
+    found = {r.doc_id: r.grounding_status for r in canonical.resolve_quotes(quotes, parses).collect()}
+    assert found == {1: "grounded", 2: "unresolved"}
+
+
+def test_ingest_reads_delimited_files_and_a_second_stream_adds(spark, tmp_path):
+    from docrecords.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text('Name, Note\r\n"Doe, J","x ""y""\nz"\r\n,,\r\n1,,3\r\n5" pipe,2\r\n')
+    (tmp_path / "in" / "b.html").write_text("<script>f()</script>")
+    (tmp_path / "in" / "c.txt").write_text("same")
+    for run in ("one", "two"):
+        (tmp_path / "in" / f"{run}.txt").write_text(f"new {run}")
+        ingest.ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/{run}").awaitTermination()
+    rows = {r.original_filename: r for r in spark.read.parquet(f"{tmp_path}/store/documents").collect()}
+    assert sorted(rows) == ["a.csv", "b.html", "c.txt", "one.txt", "two.txt"]
+    assert rows["a.csv"].text.strip() == 'Name\tNote\nDoe, J\tx "y" z\n1\t\t3\n5" pipe\t2'
+    assert (rows["b.html"].reject_code, rows["b.html"].processing_status) == ("EMPTY_DOCUMENT", "failed")
