@@ -17,7 +17,8 @@ nodes of a signature form a bucket, found by sorting.  A bucket's least node is
 other node (a star, not all pairs); components follow from the links found.  Only where a bucket still
 holds nodes of different components, these are compared with each other across the components, which
 completes the links.  So copies and near copies cost a comparison each, and no link that joins two
-components is lost.
+components is lost.  Such a bucket is dealt into blocks of about `BLOCK` nodes, and two blocks meet in
+one unit of work, so that a unit's memory and time are bounded however large the bucket is.
 
 Comparisons.  A sketch counts a set's elements in `SKETCH` cells.  The differences of two sketches are
 never more than those of the sets, so pairs whose sizes or sketches differ too much are dropped exactly;
@@ -46,6 +47,7 @@ SPARE = 2
 BAND_RATIO = 1.5
 CACHED_WORDS = 200_000
 SKETCH = 256
+BLOCK = 4096
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -325,46 +327,65 @@ def _across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     mixed_up = labelled.groupBy("sig").agg(
         F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")
     ).filter((F.col("n") > 1) & (F.col("low") != F.col("high")))
-    rows = labelled.join(mixed_up.select("sig"), "sig", "left_semi").select("sig", "member", "own")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
+    rows = labelled.join(mixed_up.select("sig", blocks.alias("blocks")), "sig").select(
+        "sig", "member", "own", "blocks", block.alias("block")
+    )
     known = nodes.select(F.col("node").alias("member"), "n_shingles", "sketch").dropDuplicates(["member"])
-    sketched = rows.join(known, "member").select("sig", "member", "own", "n_shingles", "sketch")
+    # One row for each block that the member's own block meets; nearly all buckets are one block.
+    meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sketched = (
+        rows.join(known, "member")
+        .select("sig", "member", "own", "n_shingles", "sketch", "block", meets)
+        .withColumn("low", F.least("block", "other"))
+        .withColumn("high", F.greatest("block", "other"))
+        .drop("other")
+    )
 
     def run(batches):
-        sig, held = None, []
+        unit, held = None, []
         for batch in batches:
-            sigs = batch.column(0).to_numpy()
-            if not len(sigs):
+            keys = np.stack([batch.column(k).to_numpy() for k in (0, 6, 7)])
+            if not keys.shape[1]:
                 continue
-            cuts = [0, *(np.flatnonzero(sigs[1:] != sigs[:-1]) + 1).tolist(), len(sigs)]
+            changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            cuts = [0, *changes.tolist(), keys.shape[1]]
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and sigs[start] != sig:
-                    yield from _bucket_pairs(held, percent)
+                here = tuple(keys[:, start].tolist())
+                if held and here != unit:
+                    yield from _unit_pairs(held, unit[1] != unit[2], percent)
                     held = []
-                sig = sigs[start]
+                unit = here
                 held.append(batch.slice(start, end - start))
         if held:
-            yield from _bucket_pairs(held, percent)
+            yield from _unit_pairs(held, unit[1] != unit[2], percent)
 
-    ordered = sketched.repartition("sig").sortWithinPartitions("sig", "member")
+    keys = ("sig", "low", "high")
+    ordered = sketched.repartition(*keys).sortWithinPartitions(*keys, "member")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 PAIRS_AT_ONCE = 50_000
 
 
-def _bucket_pairs(held: list[pa.RecordBatch], percent: int):
-    """Pairs of one bucket's members across components whose sizes and sketches allow a link.
+def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int):
+    """Pairs of a unit's members across components whose sizes and sketches allow a link.
 
-    Pairs are formed and tested in blocks; only those that pass leave the task.
+    A unit is one block of a bucket, or two of which only pairs between them are wanted.  Pairs are
+    formed and tested in parts; only those that pass leave the task.
     """
     rows = pa.Table.from_batches(held)
     member, own, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
+    block = rows.column(5).to_numpy()
     cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
     step = max(1, PAIRS_AT_ONCE // len(member))
     for start in range(0, len(member), step):
         i = np.arange(start, min(start + step, len(member)))[:, None]
         near = (np.arange(len(member)) > i) & (own != own[i])
         near &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        if two_blocks:
+            near &= block != block[i]
         x, y = np.nonzero(near)
         x += start
         apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(axis=1, dtype=np.int64)

@@ -51,6 +51,20 @@ def brute_groups(rows, percent=85):
     return sorted(((r[0], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)), key=str)
 
 
+def test_large_buckets_meet_in_blocks(spark, monkeypatch):
+    cells = bytes([1]) * partenum_join.SKETCH
+    stars = spark.createDataFrame([(7, 0, m) for m in range(1, 40)], "sig long, leader long, member long")
+    labels = spark.createDataFrame([(m, m % 6) for m in range(40)], "node long, label long")
+    nodes = spark.createDataFrame(
+        [(m, 256 + m, cells) for m in range(40)], "node long, n_shingles long, sketch binary"
+    )
+    wanted = {(a, b) for a in range(1, 40) for b in range(a + 1, 40) if a % 6 != b % 6}
+    for block in (3, 16, 4096):
+        monkeypatch.setattr(partenum_join, "BLOCK", block)
+        pairs = [tuple(r) for r in partenum_join._across(stars, labels, nodes, 85).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+
+
 def test_groups_whole_table_and_edits(spark, sf):
     rows = [tuple(r) for r in documents(spark, sf).collect()]
     base = rows[0][1].split()[:120]
