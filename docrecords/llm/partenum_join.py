@@ -14,9 +14,10 @@ partitions have one, as otherwise a partition with a subset that is not empty is
 
 Equal sets become one node before anything is joined; a task emits the signatures of a node once.  The
 nodes of a signature form a bucket, found by sorting.  A bucket's least node is compared with each
-other node (a star, not all pairs); components follow from the links found.  Only where a bucket still
-holds nodes of different components, these are compared with each other across the components, which
-completes the links.  So copies and near copies cost a comparison each, and no link that joins two
+other node (a star, not all pairs); components follow from the links found.  Where a bucket still holds
+nodes of different components, each node outside its most frequent component is compared with the one
+of another component whose sketch is nearest.  What is then still in different components is compared
+with each other across the components, which completes the links.  So copies and near copies cost a comparison each, and no link that joins two
 components is lost.  Such a bucket is dealt into blocks of about `BLOCK` nodes, and two blocks meet in
 one unit of work, so that a unit's memory and time are bounded however large the bucket is.
 
@@ -306,23 +307,22 @@ def jaccard_links(
 
     tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
     links = linked(_possible(tested, known, percent), "star")
+    nearest = _across(stars, components(links), known, percent, nearest=True)
+    links = links.union(linked(nearest, "nearest"))
     across = _across(stars, components(links), known, percent)
     return nodes, links.union(linked(across, "across"))
 
 
-def _across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members, the leader aside, in different components, that may link."""
+def _across(
+    stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool = False
+) -> DataFrame:
+    """Pairs of a bucket's members, the leader aside, in different components, that may link.
+
+    With `nearest` only one pair for each member outside the most frequent component.
+    """
     label_of = labels.select(F.col("node").alias("member"), F.col("label").alias("own"))
-    leader_of = labels.select(F.col("node").alias("leader"), F.col("label").alias("lead"))
-    labelled = (
-        stars.join(label_of, "member", "left")
-        .join(leader_of, "leader", "left")
-        .select(
-            "sig",
-            "member",
-            F.coalesce("own", "member").alias("own"),
-            F.coalesce("lead", "leader").alias("lead"),
-        )
+    labelled = stars.join(label_of, "member", "left").select(
+        "sig", "member", F.coalesce("own", "member").alias("own")
     )
     mixed_up = labelled.groupBy("sig").agg(
         F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")
@@ -354,12 +354,12 @@ def _across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 here = tuple(keys[:, start].tolist())
                 if held and here != unit:
-                    yield from _unit_pairs(held, unit[1] != unit[2], percent)
+                    yield from _unit_pairs(held, unit[1] != unit[2], percent, nearest)
                     held = []
                 unit = here
                 held.append(batch.slice(start, end - start))
         if held:
-            yield from _unit_pairs(held, unit[1] != unit[2], percent)
+            yield from _unit_pairs(held, unit[1] != unit[2], percent, nearest)
 
     keys = ("sig", "low", "high")
     ordered = sketched.repartition(*keys).sortWithinPartitions(*keys, "member")
@@ -369,17 +369,19 @@ def _across(stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
 PAIRS_AT_ONCE = 50_000
 
 
-def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int):
+def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, nearest: bool):
     """Pairs of a unit's members across components whose sizes and sketches allow a link.
 
     A unit is one block of a bucket, or two of which only pairs between them are wanted.  Pairs are
-    formed and tested in parts; only those that pass leave the task.
+    formed and tested in parts; only those that pass leave the task, or the nearest of each member.
     """
     rows = pa.Table.from_batches(held)
     member, own, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
     block = rows.column(5).to_numpy()
     cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
     step = max(1, PAIRS_AT_ONCE // len(member))
+    least = np.full(len(member), np.iinfo(np.int64).max)
+    partner = np.full(len(member), -1)
     for start in range(0, len(member), step):
         i = np.arange(start, min(start + step, len(member)))[:, None]
         near = (np.arange(len(member)) > i) & (own != own[i])
@@ -390,11 +392,27 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int):
         x += start
         apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(axis=1, dtype=np.int64)
         keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-        if keep.any():
-            a, b = member[x[keep]], member[y[keep]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
-            )
+        x, y, apart = x[keep], y[keep], apart[keep]
+        if not nearest:
+            yield _pair_rows(member[x], member[y])
+            continue
+        for one, other in ((x, y), (y, x)):
+            order = np.lexsort((apart, one))
+            who, first = np.unique(one[order], return_index=True)
+            best = order[first]
+            better = apart[best] < least[who]
+            least[who[better]] = apart[best[better]]
+            partner[who[better]] = other[best[better]]
+    if nearest:
+        names, counts = np.unique(own, return_counts=True)
+        x = np.flatnonzero((partner >= 0) & (own != names[counts.argmax()]))
+        yield _pair_rows(member[x], member[partner[x]])
+
+
+def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]
+    )
 
 
 def similar_groups(

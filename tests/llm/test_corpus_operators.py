@@ -63,6 +63,8 @@ def test_large_buckets_meet_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(partenum_join, "BLOCK", block)
         pairs = [tuple(r) for r in partenum_join._across(stars, labels, nodes, 85).collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+        one_each = partenum_join._across(stars, labels, nodes, 85, nearest=True).collect()
+        assert one_each and {tuple(r) for r in one_each} <= wanted
 
 
 def test_groups_whole_table_and_edits(spark, sf):
