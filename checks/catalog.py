@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_records", "q_functions", "q_rules", "q_canonical", "q_structure", "q_schemas", "q_sources", "q_resume")
+MODULES = ("q_records", "q_functions", "q_rules", "q_canonical", "q_structure", "q_schemas", "q_sources", "q_resume", "q_whole")
 
 QUERIES = {}
 ORACLE = {}

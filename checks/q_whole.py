@@ -1,0 +1,164 @@
+"""Checks over whole tables: every document matches a schema, every turn is tagged, every field is committed.
+
+The narrower checks of the same operators stay beside these with their SQL as it is.  SQL is composed from
+the same parts, with the conditions that left rows out replaced.
+"""
+
+from pyspark.sql import functions as F
+
+from docrecords.functions import text as T
+from docrecords.operators import schemas, structure
+
+from . import oracle_base as O
+from . import oracle_text as X
+from . import q_schemas, q_structure
+from . import views as V
+from .q_functions import camel, norm
+
+QUERIES = {}
+ORACLE = {}
+
+
+def check(name, sql=None):
+    def add(fn):
+        QUERIES[name] = fn
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+
+    return add
+
+
+def swapped(sql, *pairs):
+    """`sql` with each part replaced; a part that is missing is an error, not a silent cut."""
+    for old, new in pairs:
+        if old not in sql:
+            raise ValueError(f"not in the SQL: {old}")
+        sql = sql.replace(old, new)
+    return sql
+
+
+# --- schema match over every text ----------------------------------------------------------
+
+PUBLISHED = swapped(
+    q_schemas.PUBLISHED,
+    ("FROM v_inf JOIN orders ON o_orderkey = doc_id WHERE doc_id % 2500 = 3",
+     "FROM v_inf JOIN orders ON o_orderkey = doc_id UNION ALL SELECT abs(doc_id) % 30, leaf_key, label FROM v_inf WHERE doc_id < 0"),
+    ("doc_id % 3 = schema_version_id % 3", "abs(doc_id) % 3 = schema_version_id % 3"),
+    ("WHERE i.doc_id >= 0 ", ""),
+)
+MATCH = [*q_structure.FULL, q_structure.SCHEMA, PUBLISHED]
+
+
+@V.view
+def scores(spark, sf):
+    inferred = q_structure.schema(spark, sf).filter("node_kind = 'scalar'").select(
+        "doc_id", F.col("schema_key").alias("leaf_key"), "label"
+    )
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 30).alias("schema_version_id"))
+    d = V.texts(spark, sf).filter("doc_id < 0").select("doc_id", (F.abs("doc_id") % 30).alias("schema_version_id"))
+    published = inferred.join(o.unionByName(d), "doc_id").select("schema_version_id", "leaf_key", "label").distinct()
+    third = (F.abs("doc_id") % 3).cast("string")
+    names = inferred.select("doc_id").distinct().select("doc_id", F.concat(F.lit("n"), third).alias("schema_name"))
+    vnames = published.select("schema_version_id").distinct().select(
+        "schema_version_id", F.concat(F.lit("N"), (F.col("schema_version_id") % 3).cast("string")).alias("schema_name")
+    )
+    return schemas.schema_match(inferred, published, names, vnames)
+
+
+@check("m07_schema_match_whole", O.sql(MATCH, "SELECT doc_id, schema_version_id, overlap, CAST(round(score::DOUBLE, 6) AS DECIMAL(10,6))::VARCHAR AS score FROM v_sc"))
+def _(spark, sf):
+    return scores(spark, sf).select("doc_id", "schema_version_id", "overlap", q_schemas.rounded())
+
+
+@check(
+    "m08_best_match_whole",
+    O.sql(MATCH, "SELECT doc_id, CAST(round(max(score)::DOUBLE, 6) AS DECIMAL(10,6))::VARCHAR AS score FROM v_sc WHERE overlap >= 2 AND score >= 0.1 GROUP BY doc_id"),
+)
+def _(spark, sf):
+    # A version of many documents has many keys, of which one document holds few.
+    return schemas.best_match(scores(spark, sf), min_score=0.1).select("doc_id", q_schemas.rounded())
+
+
+# --- extraction with a schema from every text ----------------------------------------------
+
+LEAVES = swapped(
+    q_structure.LEAVES,
+    ("SELECT doc_id, doc_id % 2 AS schema_version_id FROM v_docs_text WHERE doc_id >= 0", "SELECT doc_id, abs(doc_id) % 2 AS schema_version_id FROM v_docs_text"),
+)
+COLUMN_LEAVES = f"""
+v_hs AS (SELECT s, min(header) AS header FROM (SELECT {camel("header")} AS s, header FROM v_cells WHERE header <> '' UNION ALL SELECT event_type, event_type FROM events) GROUP BY s),
+v_cleaf AS (SELECT v AS schema_version_id, 'goods' AS array_key, 'goods[].' || s AS leaf_key, s AS key, header AS label, 'goods' AS field_group, 'decimal' AS type, false AS required, true AS material
+   FROM v_hs, (SELECT unnest([0, 1]) AS v) WHERE v = 1 OR s IN ('item', 'qty', 'code'))"""
+ARRAYS = [*X.PARSE, X.KV, X.TABLES, LEAVES, COLUMN_LEAVES, q_structure.SCORE2]
+
+
+@V.view
+def assigned(spark, sf):
+    return V.texts(spark, sf).select("doc_id", (F.abs("doc_id") % 2).alias("schema_version_id"))
+
+
+@V.view
+def column_leaves(spark, sf):
+    heads = q_structure.cells(spark, sf).filter("header <> ''").select(T.slug_camel(F.col("header")).alias("key"), F.col("header").alias("label"))
+    e = V.table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_type").alias("label"))
+    return (
+        heads.unionByName(e).groupBy("key").agg(F.min("label").alias("label"))
+        .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("schema_version_id"))
+        .filter((F.col("schema_version_id") == 1) | F.col("key").isin("item", "qty", "code"))
+        .select("schema_version_id", F.lit("goods").alias("array_key"), F.concat(F.lit("goods[]."), "key").alias("leaf_key"), "key", "label",
+                F.lit("goods").alias("field_group"), F.lit("decimal").alias("type"), F.lit(False).alias("required"), F.lit(True).alias("material"))
+    )
+
+
+@check("x12_extract_with_schema_whole", O.sql([*X.PARSE, X.KV, LEAVES], f"SELECT {q_structure.WSHOWN} FROM v_with"))
+def _(spark, sf):
+    return q_structure.shown(structure.extract_with_schema(V.lines(spark, sf), assigned(spark, sf), q_structure.leaves(spark, sf)))
+
+
+@check("x13_match_table_whole", O.sql(ARRAYS, "SELECT doc_id, 'goods' AS array_key, table_no, score FROM v_best"))
+def _(spark, sf):
+    return structure.match_tables(V.lines(spark, sf), assigned(spark, sf), column_leaves(spark, sf))
+
+
+@check(
+    "x13b_extract_arrays_whole",
+    O.sql(ARRAYS, f"""SELECT r.doc_id, 'goods[' || r.row_no || '].' || l.key AS path, CASE WHEN c.value <> '' THEN 'present' ELSE 'not_found' END AS presence_state,
+      CASE WHEN c.value <> '' THEN {norm("'decimal'", "c.value")} END AS value, CASE WHEN c.value <> '' THEN c.start END AS start
+      FROM (SELECT DISTINCT c.doc_id, c.table_no, c.row_no FROM v_cells c JOIN v_best b ON b.doc_id = c.doc_id AND b.table_no = c.table_no) r
+      JOIN v_assigned a ON a.doc_id = r.doc_id JOIN v_cleaf l ON l.schema_version_id = a.schema_version_id
+      LEFT JOIN (SELECT doc_id, table_no, row_no, {camel("header")} AS slug, arg_max(value, column_no) AS value, arg_max(start, column_no) AS start FROM v_cells WHERE header <> '' GROUP BY ALL) c
+        ON c.doc_id = r.doc_id AND c.table_no = r.table_no AND c.row_no = r.row_no AND c.slug = l.key"""),
+)
+def _(spark, sf):
+    found = structure.extract_arrays(V.lines(spark, sf), assigned(spark, sf), column_leaves(spark, sf))
+    return found.select("doc_id", "path", "presence_state", "value", "start")
+
+
+@check(
+    "x14_fill_missing_whole",
+    O.sql([*q_structure.BASE, q_structure.KVF, LEAVES], """SELECT doc_id, path, presence_state, value FROM v_kvf UNION ALL
+      SELECT a.doc_id, l.leaf_key, 'not_found', NULL FROM v_assigned a JOIN v_leafs l ON l.schema_version_id = a.schema_version_id
+      WHERE NOT EXISTS (SELECT 1 FROM v_kvf f WHERE f.doc_id = a.doc_id AND f.schema_field_key = l.leaf_key)"""),
+)
+def _(spark, sf):
+    found = structure.fields_from_kv(q_structure.keyed(spark, sf))
+    return structure.fill_missing(found, assigned(spark, sf), q_structure.leaves(spark, sf)).select("doc_id", "path", "presence_state", "value")
+
+
+@check(
+    "x15_overlay_candidates_whole",
+    O.sql([*X.PARSE, X.KV, LEAVES, q_structure.PROPOSALS, q_structure.OVERLAY], """
+      SELECT w.doc_id, w.path, CASE WHEN m.c IS NOT NULL THEN m.c.value ELSE w.value END AS value, CASE WHEN m.c IS NOT NULL THEN m.c.ps ELSE w.presence_state END AS presence_state,
+        CAST(CASE WHEN m.c IS NOT NULL THEN m.c.confidence_score ELSE w.confidence_score END AS DECIMAL(6,4))::VARCHAR AS confidence_score
+      FROM v_weak w LEFT JOIN v_take m ON m.doc_id = w.doc_id AND m.path = w.path AND w.weak"""),
+)
+def _(spark, sf):
+    base = structure.extract_with_schema(V.lines(spark, sf), assigned(spark, sf), q_structure.leaves(spark, sf))
+    cands = q_structure.proposals(spark, sf).select(
+        "doc_id", "position", F.col("key").alias("schema_field_key"), "path", "label", "value", "presence_state", "confidence_score",
+        "confidence_state", "start", "end", (F.col("grounding_status") == "grounded").alias("grounded"),
+    )
+    return structure.overlay_candidates(base, cands).select(
+        "doc_id", "path", "value", "presence_state", F.col("confidence_score").cast("decimal(6,4)").cast("string").alias("confidence_score")
+    )
