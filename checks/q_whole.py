@@ -7,11 +7,12 @@ the same parts, with the conditions that left rows out replaced.
 from pyspark.sql import functions as F
 
 from docrecords.functions import text as T
-from docrecords.operators import schemas, structure
+from docrecords.operators import resume, schemas, structure, tagging
+from docrecords.plans import structuring
 
 from . import oracle_base as O
 from . import oracle_text as X
-from . import q_schemas, q_structure
+from . import q_resume, q_rules, q_schemas, q_sources, q_structure
 from . import views as V
 from .q_functions import camel, norm
 
@@ -162,3 +163,77 @@ def _(spark, sf):
     return structure.overlay_candidates(base, cands).select(
         "doc_id", "path", "value", "presence_state", F.col("confidence_score").cast("decimal(6,4)").cast("string").alias("confidence_score")
     )
+
+
+# --- every turn, every resume row, every kind of field -------------------------------------
+
+REQUESTS = swapped(q_sources.REQUESTS, (" WHERE role = 'user'", ""))
+TAGGED = [REQUESTS, q_sources.AMOUNTS]
+FOUND = [*TAGGED, q_sources.VENDORS]
+
+
+@V.view
+def requests(spark, sf):
+    turn = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"))
+    turns = V.table(spark, sf, "conversations").select(turn.alias("id"), "text")
+    return q_sources.requests(spark, sf).filter("id LIKE 'o%'").unionByName(turns)
+
+
+def tagged(spark, sf):
+    return tagging.tag_requests(requests(spark, sf), q_sources.vendors(spark, sf))
+
+
+@check("t01_amounts_whole", O.sql(TAGGED, "SELECT id, amount_comparator, amount_value, amount_value_to FROM v_t"))
+def _(spark, sf):
+    return tagged(spark, sf).select("id", "amount_comparator", "amount_value", "amount_value_to")
+
+
+@check("t02_mentions_whole", O.sql(TAGGED, "SELECT id, currency, review_status, date_from, date_to FROM v_t"))
+def _(spark, sf):
+    return tagged(spark, sf).select("id", "currency", "review_status", "date_from", "date_to")
+
+
+@check("t03_vendors_whole", O.sql(FOUND, "SELECT * FROM v_hit"))
+def _(spark, sf):
+    return tagging.match_vendors(requests(spark, sf), q_sources.vendors(spark, sf))
+
+
+@check(
+    "t04_left_over_terms_whole",
+    O.sql([*FOUND, q_sources.LEFT], f"""SELECT id, CASE WHEN none AND len(lft) > 0 THEN array_to_string(lft, ' ') END AS search, CASE WHEN none THEN '' ELSE array_to_string(lft, ', ') END AS unparsed_terms,
+      concat_ws(' | ', CASE WHEN amount_comparator IS NOT NULL AND currency IS NULL THEN '{tagging.NO_CURRENCY}' END, CASE WHEN NOT none AND len(lft) > 0 THEN 'Ignored: ' || array_to_string(lft, ', ') || '. Only recognized filters are applied.' END) AS warnings,
+      none AND len(lft) = 0 AS needs_clarification FROM v_fb"""),
+)
+def _(spark, sf):
+    return tagged(spark, sf).select("id", "search", "unparsed_terms", "warnings", "needs_clarification")
+
+
+_CONTACT = "'Berlin, person' || k || '@example.org, +49 170 55' || lpad(k::VARCHAR, 5, '0')"
+
+
+@check(
+    "x23_resume_rows_whole",
+    swapped(
+        q_resume.ROWS_SQL,
+        ("  UNION ALL SELECT k, NULL, NULL, 'summary'",
+         f"  UNION ALL SELECT k, NULL, NULL, 'phone', regexp_extract({_CONTACT}, '{q_structure._PH}') FROM c\n  UNION ALL SELECT k, NULL, NULL, 'summary'"),
+    ),
+)
+def _(spark, sf):
+    rows = resume.resume_rows(q_resume.resume_texts(spark, sf), q_resume.lines(spark, sf))
+    return rows.select("doc_id", "array_key", "row_index", "column_key", "value")
+
+
+@check(
+    "r11_commit_fields_whole",
+    O.sql([*q_structure.FULL, """
+      v_n AS (SELECT *, doc_id AS extraction_id, 'purchase' AS schema_key, value AS extracted_value, NULL::VARCHAR AS corrected_value, 'needs_review' AS review_state,
+        row_number() OVER (PARTITION BY doc_id ORDER BY stage, major, minor, row_no, column_no) AS sort_order, row_number() OVER () AS field_id,
+        CASE WHEN confidence_score >= 0.85 THEN 'high' ELSE 'medium' END AS confidence_state FROM v_all)""", O.typed("v_n", "v_t"), O.single("v_t", "v_one"), q_rules.RULES],
+        """SELECT extraction_id, path, value_text, CAST(value_numeric AS VARCHAR) AS value_numeric, value_date, validation_state, CASE WHEN needs_attention THEN 'needs_review' ELSE 'auto_accepted' END AS review_state FROM v_valid"""),
+)
+def _(spark, sf):
+    place = F.struct("stage", "major", "minor", "row_no", "column_no")
+    rows = q_structure.every_field(spark, sf).withColumns({"extraction_id": F.col("doc_id"), "sort_order": place, "field_id": place})
+    done = structuring.committed_fields(rows, "purchase")
+    return done.select("extraction_id", "path", "value_text", F.col("value_numeric").cast("string").alias("value_numeric"), "value_date", "validation_state", "review_state")

@@ -28,3 +28,23 @@ def test_tables_of_real_documents_are_matched(spark, sf):
 
 def test_best_match_covers_real_documents(spark, sf):
     assert any(i < 0 for i in ids(entry.queries()["m08_best_match_whole"](spark, sf)))
+
+
+@pytest.mark.parametrize("name", ["t01_amounts_whole", "t02_mentions_whole", "t04_left_over_terms_whole"])
+def test_turns_of_every_role_are_tagged(name, spark, sf):
+    other = spark.read.parquet(f"{sf}/conversations.parquet").filter("role <> 'user' AND trim(text) <> ''")
+    wanted = {f"c{r.conv_id}_{r.turn}" for r in other.collect()}
+    assert wanted and wanted <= ids(entry.queries()[name](spark, sf), "id")
+
+
+def test_resume_rows_keep_phones(spark, sf):
+    assert "phone" in ids(entry.queries()["x23_resume_rows_whole"](spark, sf), "column_key")
+
+
+def test_every_kind_of_field_is_committed(spark, sf):
+    from checks import q_structure
+
+    rows = q_structure.every_field(spark, sf).select("stage", "minor", "doc_id", "path").collect()
+    assert {(r.stage, r.stage == 2 and r.minor) for r in rows} == {(0, False), (1, False), (2, 0), (2, 1), (3, False)}
+    got = entry.queries()["r11_commit_fields_whole"](spark, sf).select("extraction_id", "path").collect()
+    assert sorted((r.doc_id, r.path) for r in rows) == sorted((r.extraction_id, r.path) for r in got)
