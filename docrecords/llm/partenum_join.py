@@ -140,14 +140,14 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT, parts: int = PARTS)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets(docs: DataFrame, convert, schema: str, *keys: str) -> DataFrame:
+def _sets(docs: DataFrame, convert, schema: str, shingle: int, *keys: str) -> DataFrame:
     """Rows made from the shingle set of each document, in batches: `convert(batch, sets)`."""
 
     def run(batches):
         hashes = WordHashes()
         seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in text_bytes(batch, "text")]
+            sets = [shingle_set(t, hashes, shingle) for t in text_bytes(batch, "text")]
             yield convert(batch, sets, seen)
 
     return docs.select(*keys, F.col("text")).mapInArrow(run, schema)
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _fetch_sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
+def _fetch_sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """The sets of the wanted nodes, each from the text of the node's first document."""
     ids = wanted.join(firsts, "node").select("first_id", "node")
 
@@ -280,11 +280,11 @@ def _fetch_sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFr
         )
 
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"])).select("node", "text")
-    return _sets(texts, convert, "node long, set binary", "node").dropDuplicates(["node"])
+    return _sets(texts, convert, "node long, set binary", shingle, "node").dropDuplicates(["node"])
 
 
 def jaccard_links(
-    docs: DataFrame, *, percent: int = PERCENT, parts: int = PARTS
+    docs: DataFrame, *, shingle: int = SHINGLE, percent: int = PERCENT, parts: int = PARTS
 ) -> tuple[DataFrame, DataFrame]:
     """Nodes of the documents (doc_id, n_shingles, node), and links (a, b) that join all similar nodes.
 
@@ -292,17 +292,17 @@ def jaccard_links(
     """
     key = docs.select("doc_id").schema.simpleString()[7:-1]
     nodes = shared_stage(
-        _sets(docs, _node_rows, f"{key}, n_shingles long, node long, sketch binary", "doc_id"), "nodes"
+        _sets(docs, _node_rows, f"{key}, n_shingles long, node long, sketch binary", shingle, "doc_id"), "nodes"
     )
     known = nodes.filter(F.col("node").isNotNull())
     firsts = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    signed = _sets(docs, _signature_rows(percent, parts), "sig long, node long")
+    signed = _sets(docs, _signature_rows(percent, parts), "sig long, node long", shingle)
     stars = shared_stage(bucket_stars(signed), "stars")
 
     def linked(possible: DataFrame, name: str) -> DataFrame:
         possible = shared_stage(possible, f"{name}_pairs")
         wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = shared_stage(_fetch_sets(docs, firsts, wanted), f"{name}_sets")
+        sets = shared_stage(_fetch_sets(docs, firsts, wanted, shingle), f"{name}_sets")
         return shared_stage(_verified(possible, sets, percent), f"{name}_links")
 
     tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
@@ -420,6 +420,7 @@ def similar_groups(
     *,
     doc_id: str = "doc_id",
     text: str = "text",
+    shingle: int = SHINGLE,
     percent: int = PERCENT,
     parts: int = PARTS,
 ) -> DataFrame:
@@ -427,7 +428,7 @@ def similar_groups(
     slim = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     )
-    nodes, links = jaccard_links(slim, percent=percent, parts=parts)
+    nodes, links = jaccard_links(slim, shingle=shingle, percent=percent, parts=parts)
     labels = components(links)
     alone = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
     labelled = alone.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
