@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blank_words, shared_stage, text_bytes
+from .common import add_columns, blank_words, shared_stage, text_bytes
 from .components import components
 
 SHINGLE = 4
@@ -153,6 +153,21 @@ def _sets(docs: DataFrame, convert, schema: str, shingle: int, *keys: str) -> Da
     return docs.select(*keys, F.col("text")).mapInArrow(run, schema)
 
 
+def with_node(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
+    """`docs` with the node of each row's `text`, null for a text without words."""
+
+    def rows():
+        hashes = WordHashes()
+
+        def convert(batch):
+            sets = (shingle_set(t, hashes, shingle) for t in text_bytes(batch, "text"))
+            return [[set_key(s) if len(s) else None for s in sets]]
+
+        return convert
+
+    return add_columns(docs, f"{name} long", rows)
+
+
 def sketch(shingles: np.ndarray) -> bytes:
     cells = (shingles >> np.uint64(56)).astype(np.int64)
     return np.minimum(np.bincount(cells, minlength=SKETCH), 255).astype(np.uint8).tobytes()
@@ -415,7 +430,7 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def similar_groups(
+def node_groups(
     docs: DataFrame,
     *,
     doc_id: str = "doc_id",
@@ -424,7 +439,10 @@ def similar_groups(
     percent: int = PERCENT,
     parts: int = PARTS,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the least id that links reach, for every document."""
+    """(doc_id, n_shingles, component_id, node, label): as `similar_groups`, with the row's node and the
+    component's least node, which tell rows and components apart where ids repeat.  Both are null for a
+    text without words.
+    """
     slim = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     )
@@ -433,9 +451,16 @@ def similar_groups(
     alone = nodes.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("first_id"))
     labelled = alone.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_node = labelled.join(least, "label").select("node", "component_id")
+    by_node = labelled.join(least, "label").select("node", "label", "component_id")
     return nodes.join(by_node, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "node",
+        "label",
     )
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the least id that links reach, for every document."""
+    return node_groups(docs, **options).select("doc_id", "n_shingles", "component_id")

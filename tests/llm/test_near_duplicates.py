@@ -20,3 +20,22 @@ def test_one_changed_word_in_forty_seven_is_a_near_copy(spark):
     far = [f"new{i}" if i % 40 == 20 else w for i, w in enumerate(words(2))]
     rows = [(1, one), (2, near), (3, words(2)), (4, far)]
     assert {i for i, _ in stage(spark, [(i, " ".join(w)) for i, w in rows])} == {1, 3, 4}
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    a, b, c = (" ".join(words(k, 60)) for k in (11, 12, 13))
+    rows = [(5, a), (5, b), (3, b), (7, c), (7, c.upper()), (8, c)]
+    assert stage(spark, rows) == sorted([(5, a), (3, b), (7, c.upper())], key=str)
+
+
+def test_near_copies_under_one_id_are_one(spark):
+    one = words(21)
+    near = " ".join(f"new{i}" if i % 47 == 20 else w for i, w in enumerate(one))
+    assert len(stage(spark, [(1, " ".join(one)), (1, near), (1, "other words"), (2, near)])) == 2
+
+
+def test_rows_without_an_id_stay_where_others_repeat(spark):
+    a, b = (" ".join(words(k, 60)) for k in (31, 32))
+    rows = [(None, a), (None, a), (None, None), (None, None), (None, ""), (4, b), (4, b), (6, ""), (6, ""), (6, None)]
+    expected = [(None, a), (None, a), (None, None), (None, None), (None, ""), (4, b), (6, ""), (6, None)]
+    assert stage(spark, rows) == sorted(expected, key=str)
