@@ -294,7 +294,11 @@ def _fetch_sets(docs: DataFrame, firsts: DataFrame, wanted: DataFrame, shingle:
             names=["node", "set"],
         )
 
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["first_id"])).select("node", "text")
+    texts = docs.join(ids, docs["doc_id"] == ids["first_id"]).select("node", "text")
+    # A null id is larger than any other: such a node has rows without an id only, found by their node.
+    nameless = ids.filter(F.col("first_id").isNull()).select("node")
+    unnamed = with_node(docs.filter(F.col("doc_id").isNull()), "node", shingle)
+    texts = texts.union(unnamed.join(nameless, "node", "left_semi").select("node", "text"))
     return _sets(texts, convert, "node long, set binary", shingle, "node").dropDuplicates(["node"])
 
 

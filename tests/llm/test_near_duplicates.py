@@ -1,6 +1,9 @@
 """The near-duplicate stage: its own shingle length and threshold."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from docrecords.llm import partenum_join
 
 
 def words(seed, n=470):
@@ -39,3 +42,25 @@ def test_rows_without_an_id_stay_where_others_repeat(spark):
     rows = [(None, a), (None, a), (None, None), (None, None), (None, ""), (4, b), (4, b), (6, ""), (6, ""), (6, None)]
     expected = [(None, a), (None, a), (None, None), (None, None), (None, ""), (4, b), (6, ""), (6, None)]
     assert stage(spark, rows) == sorted(expected, key=str)
+
+
+def test_texts_without_an_id_are_fetched_once(spark, monkeypatch):
+    rows = [(None, " ".join(words(k, 20))) for k in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    nodes = partenum_join.with_node(docs, "node").select("node").withColumn("first_id", F.col("node") * F.lit(None))
+    read = []
+
+    def texts(docs, *_):
+        read.append(docs.count())
+        return docs
+
+    monkeypatch.setattr(partenum_join, "_sets", texts)
+    partenum_join._fetch_sets(docs, nodes, nodes.select("node"), partenum_join.SHINGLE)
+    assert read == [30]
+
+
+def test_near_copies_without_an_id_are_linked(spark):
+    one = words(51)
+    near = " ".join(f"new{i}" if i == 20 else w for i, w in enumerate(one))
+    docs = spark.createDataFrame([(None, " ".join(one)), (None, near), (None, "z")], "doc_id bigint, text string")
+    assert len({r.label for r in partenum_join.node_groups(docs).collect()}) == 2
