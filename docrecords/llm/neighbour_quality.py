@@ -77,20 +77,32 @@ def term_counts(text: bytes | None) -> np.ndarray:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The places of the counts that are not zero, then their values: at most 6 bytes a term."""
+    at = np.flatnonzero(counts).astype(np.uint16)
+    return at.tobytes() + counts[at].tobytes()
+
+
+def unpack(terms: bytes, out: np.ndarray) -> None:
+    """Set a row of zeros to packed counts."""
+    n = len(terms) // 6
+    out[np.frombuffer(terms, np.uint16, n)] = np.frombuffer(terms, np.float32, n, offset=2 * n)
+
+
 class LatentVectors:
     """Term weights, directions, and the labelled vectors with their labels."""
 
-    def __init__(self, texts: list[bytes | None], labels: list[int], rank: int = RANK):
+    def __init__(self, terms: list[bytes], labels: list[int], rank: int = RANK):
         self.labels = np.array(labels, np.float32)
-        if not texts:
+        if not terms:
             return
-        counts = np.empty((len(texts), TERMS), np.float32)
-        for k, text in enumerate(texts):
-            counts[k] = term_counts(text)
+        counts = np.zeros((len(terms), TERMS), np.float32)
+        for k, own in enumerate(terms):
+            unpack(own, counts[k])
         held = np.count_nonzero(counts, axis=0)
-        self.weights = np.log((len(texts) + 1) / (held + 1)).astype(np.float32) + 0.1
+        self.weights = np.log((len(terms) + 1) / (held + 1)).astype(np.float32) + 0.1
         counts *= self.weights
-        self.directions = _directions(counts, min(rank, len(texts)))
+        self.directions = _directions(counts, min(rank, len(terms)))
         self.vectors = unit_rows(counts @ self.directions)
 
     def project(self, texts: list[bytes | None]) -> np.ndarray:
@@ -131,23 +143,33 @@ def fit(
 ) -> LatentVectors:
     """Learn from at most `sample` of the labels (key, label), those whose key hashes lowest.
 
-    They are chosen by key alone; their number is bounded, so they are broadcast to the documents.
+    They are chosen by key alone; their number is bounded, so they are broadcast to the documents.  Tasks
+    count the terms, so that rows of a bounded size come to the driver, in a fixed order.  Where documents
+    share a key, the one whose packed terms are least is learned.
     """
     own = labels.filter(F.col(label).isNotNull()).select(key, F.col(label).alias("_label"))
     chosen = (
-        own.join(docs.select(key).distinct(), key).orderBy(F.xxhash64(key), key, "_label").limit(sample)
+        own.distinct().join(docs.select(key).distinct(), key).orderBy(F.xxhash64(key), key, "_label").limit(sample)
     )
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    rows = (
+    texts = (
         docs.select(key, F.col(text).cast("binary").alias("_text"))
         .join(F.broadcast(chosen), key)
-        .select("_text", "_label")
-        .limit(sample)
+        .select(key, "_label", "_text")
+    )
+
+    def counter():
+        return lambda batch: [[packed(term_counts(t)) for t in text_bytes(batch, "_text")]]
+
+    rows = (
+        add_columns(texts, "_terms binary", counter)
+        .groupBy(key, "_label")
+        .agg(F.min("_terms").alias("_terms"))
+        .orderBy(F.xxhash64(key), key, "_label")
+        .select("_terms", "_label")
         .collect()
     )
-    texts, own_labels = [r["_text"] for r in rows], [r["_label"] for r in rows]
-    del rows
-    return LatentVectors(texts, own_labels)
+    return LatentVectors([r["_terms"] for r in rows], [r["_label"] for r in rows])
 
 
 def score(
