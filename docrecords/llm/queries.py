@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from . import (
+    centroid_clusters,
     chat_views,
     decontaminate,
     language_id,
@@ -11,6 +12,8 @@ from . import (
     neighbour_quality,
     partenum_join,
     shard_schedule,
+    simhash_pivots,
+    source_divergence,
     weak_rules,
     window_packing,
 )
@@ -107,6 +110,18 @@ def op10_weak_rules(spark, sf_dir):
     return weak_rules.quality_votes(docs, keep_text=False)
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash_pivots(spark, sf_dir):
+    return simhash_pivots.simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_centroid_clusters(spark, sf_dir):
+    return centroid_clusters.centroid_clusters(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -120,8 +135,48 @@ QUERIES = {
         op8_longest_first_shards,
         op9_decontaminate,
         op10_weak_rules,
+        op11_source_divergence,
+        op12_simhash_pivots,
+        op13_centroid_clusters,
     )
 }
+
+
+def _cluster_sql(clusters: int = 40, rounds: int = 5) -> str:
+    """The rounds of the clustering, each a pair of tables: nearest centroids, and the means after them."""
+    steps = [
+        """v AS MATERIALIZED (
+          SELECT vec_id, [CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT) FOR e IN embedding] AS x
+          FROM embeddings WHERE len(embedding) = 64
+            AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0)""",
+        f"""c0 AS MATERIALIZED (
+          SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, x AS c
+          FROM v QUALIFY cluster < {clusters})""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+          SELECT vec_id, any_value(x) AS x, min((distance, cluster)) AS best FROM (
+            SELECT vec_id, x, cluster, CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(x, c)]) AS BIGINT) AS distance
+            FROM v, c{r}) GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+          SELECT cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (
+            SELECT cluster, list(mean ORDER BY i) AS c FROM (
+              SELECT cluster, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS mean FROM (
+                SELECT best[2] AS cluster, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n
+                FROM a{r}, range(1, 65) t(i) GROUP BY ALL)) GROUP BY cluster) m USING (cluster))"""
+            )
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, cluster, best[1] AS distance,
+               CAST(sum(best[1]) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON cluster = best[2]"""
+
+
 ORACLE = {
     "op2_chat_views": """
         WITH t AS (
@@ -182,4 +237,40 @@ ORACLE = {
                coalesce(x.n_items, 0) AS n_items, sha256(coalesce(x.names, '')) AS items_sha256,
                coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM doc_words d LEFT JOIN hits h USING (doc_id) LEFT JOIN items x USING (doc_id)""",
+    "op11_source_divergence": """
+        WITH d AS (
+          SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+          FROM documents),
+        said AS MATERIALIZED (
+          SELECT id, lang, source, unnest(regexp_extract_all(t, '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM d),
+        kept AS MATERIALIZED (
+          SELECT lang, term, count(*) AS n FROM said GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        langs AS (
+          SELECT lang, coalesce(count(term), 0) AS v, coalesce(sum(n), 0) AS total
+          FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+        counts AS MATERIALIZED (
+          SELECT lang, source, term, count(*) AS n FROM said SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS MATERIALIZED (
+          SELECT lang, source, coalesce(sum(n), 0) AS total
+          FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN counts USING (lang, source) GROUP BY ALL),
+        shares AS MATERIALIZED (
+          SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                 1 + CAST(1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT) // (g.total + 5 * l.v) AS BIGINT) AS p,
+                 1 + CAST(1000000000 * CAST(k.n + 5 AS HUGEINT) // (l.total + 5 * l.v) AS BIGINT) AS q
+          FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        pairs AS (
+          SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+          FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        found AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+          UNION ALL
+          SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q)
+        SELECT lang, source, part, item, value,
+               CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM found QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_centroid_clusters": _cluster_sql(),
 }
