@@ -38,7 +38,8 @@ SMOOTHING = 5
 PARTS_OF = 1_000_000_000
 
 SLICE_BYTES = 4_000_000
-MERGE_ROWS = 1_000_000
+MERGE_ROWS = 500_000
+ROWS_AT_ONCE = 65_536
 SOURCE_BLOCK = 512
 BUCKET_ROWS, BUCKET_MOST = 20_000, 2_000_000
 DENSE_CELLS = 1_000_000
@@ -128,7 +129,7 @@ class PackedCounts:
             group = number[doc_of]
             new_run = _runs(flat, group)
             at_run, n, docs = _counted(new_run, _runs(doc_of) | new_run)
-            yield self._rows(flat[at_run], group[at_run], n, docs)
+            yield from self._rows(flat[at_run], group[at_run], n, docs)
         if self.rows > 2 * MERGE_ROWS:
             self._merge()
             if self.rows > MERGE_ROWS:
@@ -154,22 +155,24 @@ class PackedCounts:
         for words, held in self.held.items():
             for hi, lo, group, n, docs in held:
                 packed = hi.astype(">u8") if words == 1 else np.stack([hi, lo], axis=1).astype(">u8").ravel()
-                yield self._rows(packed.view(f"S{8 * words}"), group, n, docs)
+                yield from self._rows(packed.view(f"S{8 * words}"), group, n, docs)
         self.held, self.rows = {1: [], 2: []}, 0
 
-    def _rows(self, terms, group, n, docs) -> pa.RecordBatch:
+    def _rows(self, terms, group, n, docs) -> Iterator[pa.RecordBatch]:
         names = list(self.groups)
         langs, sources = (pa.array([x[k] for x in names], pa.string()) for k in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [
-                langs.take(pa.array(group)),
-                sources.take(pa.array(group)),
-                pa.array(terms.tolist(), pa.binary()).view(pa.string()),
-                pa.array(n, pa.int64()),
-                pa.array(docs, pa.int64()),
-            ],
-            names=["lang", "source", "term", "n", "docs"],
-        )
+        for k in range(0, len(terms), ROWS_AT_ONCE):
+            part = slice(k, k + ROWS_AT_ONCE)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    langs.take(pa.array(group[part])),
+                    sources.take(pa.array(group[part])),
+                    pa.array(terms[part].tolist(), pa.binary()).view(pa.string()),
+                    pa.array(n[part], pa.int64()),
+                    pa.array(docs[part], pa.int64()),
+                ],
+                names=["lang", "source", "term", "n", "docs"],
+            )
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
