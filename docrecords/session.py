@@ -26,8 +26,29 @@ def small_side(df: DataFrame) -> DataFrame:
 
     Beyond the bound the hint is left out and the join shuffles, so the result is the same.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+    return F.broadcast(df) if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether the optimizer's size estimate allows a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
+def attach(rows: DataFrame, table: DataFrame, key: str, share: int = 1000, small: bool | None = None) -> DataFrame:
+    """Rows with the one row that `table` has for their key; rows without one go.
+
+    A small table is broadcast.  Of a larger one only the rows of hot keys are: a key is hot if more than
+    1/`share` of the rows hold it, so there are fewer than `share`.  All others are met by a shuffle in
+    which no key is hot.  The result is the same either way.
+    """
+    if is_small(table) if small is None else small:
+        return rows.join(F.broadcast(table), key)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_total"))
+    # One row beside the counts.
+    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * share > F.col("_total")).select(key)
+    met = rows.join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key)
+    return met.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
