@@ -155,10 +155,13 @@ PAGES = "v_pages AS (SELECT doc_id, p + 1 AS page, p * 700 AS page_start FROM (S
 )
 def _(spark, sf):
     t = V.texts(spark, sf)
-    starts = t.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 700).cast("int"))).alias("p"))
-    pages = starts.select("doc_id", (F.col("p") + 1).alias("page"), (F.col("p") * 700).alias("page_start"))
     spans = canonical.explode_lines(t).select("doc_id", "line_no", "start")
-    return canonical.page_for_offset(spans, pages).select("doc_id", "line_no", "page")
+    return canonical.page_for_offset(spans, text_pages(t)).select("doc_id", "line_no", "page")
+
+
+def text_pages(t):
+    starts = t.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 700).cast("int"))).alias("p"))
+    return starts.select("doc_id", (F.col("p") + 1).alias("page"), (F.col("p") * 700).alias("page_start"))
 
 
 @check(
@@ -200,10 +203,10 @@ v_ground AS (SELECT *, CASE WHEN quote_t = '' THEN 'none' WHEN ex > 0 OR hit <>
 
 @check(
     "c14_resolve_quotes",
-    O.sql([*X.PARSE, QUOTES, GROUND], f"""SELECT doc_id, line_no, status AS grounding_status,
+    O.sql([*X.PARSE, QUOTES, GROUND], f"""SELECT *, CASE WHEN grounding_status = 'grounded' THEN start // 700 + 1 END AS page FROM (SELECT doc_id, line_no, status AS grounding_status,
       (CASE WHEN status <> 'grounded' THEN 0 WHEN ex > 0 THEN ex - 1 ELSE loose - CASE WHEN loose = length(regexp_extract(left(text, loose), '{O.WS}*\\z')) THEN loose
         ELSE greatest(0, length(regexp_extract(left(text, loose), '{O.WS}*\\z')) - 1) END END)::INT AS start,
-      (CASE WHEN status <> 'grounded' THEN 0 WHEN ex > 0 THEN ex - 1 + length(quote_t) ELSE loose + length(hit) END)::INT AS "end" FROM v_ground"""),
+      (CASE WHEN status <> 'grounded' THEN 0 WHEN ex > 0 THEN ex - 1 + length(quote_t) ELSE loose + length(hit) END)::INT AS "end" FROM v_ground)"""),
 )
 def _(spark, sf):
     t = V.texts(spark, sf)
@@ -213,7 +216,7 @@ def _(spark, sf):
         F.replace(F.replace(F.upper(F.replace(line, F.lit("ß"), F.lit("\u0001"))), F.lit("\u0001"), F.lit("ß")), F.lit(" "), F.lit("  "))
     )
     quotes = canonical.explode_lines(t).select("doc_id", "line_no", quote.alias("quote"))
-    return canonical.resolve_quotes(quotes, t).drop("quote")
+    return canonical.resolve_quotes(quotes, t, text_pages(t)).drop("quote")
 
 
 @check(

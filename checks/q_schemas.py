@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docrecords.operators import review, rules, schemas, structure
 from docrecords.plans import structuring
+from docrecords.plans.stages import stage
 
 from . import oracle_base as O
 from . import q_rules, q_structure
@@ -146,44 +147,46 @@ def _(spark, sf):
 PUBLISHED = f"""
 v_inf AS (SELECT s.doc_id, schema_key AS leaf_key, label FROM v_schema s WHERE node_kind = 'scalar'),
 v_is AS (SELECT DISTINCT doc_id, unnest([{snake("replace(leaf_key, '[].', '.')")}, {snake("label")}]) AS slug FROM v_inf),
-v_pub AS (SELECT o_custkey % 30 AS schema_version_id, leaf_key, label FROM v_inf JOIN orders ON o_orderkey = doc_id WHERE doc_id % 2500 = 3),
+v_pub AS (SELECT o_custkey % 30 AS schema_version_id, leaf_key, label FROM v_inf JOIN orders ON o_orderkey = doc_id
+  UNION ALL SELECT abs(doc_id) % 30, leaf_key, label FROM v_inf WHERE doc_id < 0),
 v_ps AS (SELECT DISTINCT schema_version_id, unnest([{snake("replace(leaf_key, '[].', '.')")}, {snake("label")}]) AS slug FROM v_pub),
-v_sc AS (SELECT doc_id, schema_version_id, overlap, least(1.0, overlap / ps * 0.65 + overlap / isz * 0.35 + CASE WHEN doc_id % 3 = schema_version_id % 3 THEN 0.1 ELSE 0 END) AS score FROM (
+v_sc AS (SELECT doc_id, schema_version_id, overlap, least(1.0, overlap / ps * 0.65 + overlap / isz * 0.35 + CASE WHEN abs(doc_id) % 3 = schema_version_id % 3 THEN 0.1 ELSE 0 END)::DOUBLE AS score FROM (
   SELECT i.doc_id, p.schema_version_id, count(*) AS overlap, any_value(isz) AS isz, any_value(ps) AS ps FROM v_is i JOIN v_ps p ON p.slug = i.slug
     JOIN (SELECT doc_id, count(*) AS isz FROM v_is GROUP BY 1) a ON a.doc_id = i.doc_id JOIN (SELECT schema_version_id, count(*) AS ps FROM v_ps GROUP BY 1) b ON b.schema_version_id = p.schema_version_id
-    WHERE i.doc_id >= 0 GROUP BY 1, 2))"""
+    GROUP BY 1, 2))"""
 MATCH = [*q_structure.FULL, q_structure.SCHEMA, PUBLISHED]
 
 
 @V.view
-def scores(spark, sf):
-    inferred = q_structure.schema(spark, sf).filter("node_kind = 'scalar' AND doc_id >= 0").select(
-        "doc_id", F.col("schema_key").alias("leaf_key"), "label"
+def match_inputs(spark, sf):
+    """Inferred leaves, published leaves, and the names of both: every text publishes to one of 30 versions."""
+    inferred = stage(
+        q_structure.schema(spark, sf).filter("node_kind = 'scalar'").select("doc_id", F.col("schema_key").alias("leaf_key"), "label"), "inferred"
     )
-    o = V.table(spark, sf, "orders").filter(F.col("o_orderkey") % 2500 == 3).select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 30).alias("schema_version_id"))
-    published = inferred.join(o, "doc_id").select("schema_version_id", "leaf_key", "label")
-    names = inferred.select("doc_id").distinct().select("doc_id", F.concat(F.lit("n"), (F.col("doc_id") % 3).cast("string")).alias("schema_name"))
+    o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_custkey") % 30).alias("schema_version_id"))
+    d = V.texts(spark, sf).filter("doc_id < 0").select("doc_id", (F.abs("doc_id") % 30).alias("schema_version_id"))
+    published = inferred.join(o.unionByName(d), "doc_id").select("schema_version_id", "leaf_key", "label").distinct()
+    third = (F.abs("doc_id") % 3).cast("string")
+    names = inferred.select("doc_id").distinct().select("doc_id", F.concat(F.lit("n"), third).alias("schema_name"))
     vnames = published.select("schema_version_id").distinct().select(
         "schema_version_id", F.concat(F.lit("N"), (F.col("schema_version_id") % 3).cast("string")).alias("schema_name")
     )
-    return schemas.schema_match(inferred, published, names, vnames)
+    return inferred, published, names, vnames
 
 
-def rounded():
-    return F.round("score", 6).cast("decimal(10,6)").cast("string").alias("score")
-
-
-@check("m07_schema_match", O.sql(MATCH, "SELECT doc_id, schema_version_id, overlap, CAST(round(score::DOUBLE, 6) AS DECIMAL(10,6))::VARCHAR AS score FROM v_sc"))
+@check("m07_schema_match", O.sql(MATCH, "SELECT doc_id, schema_version_id, overlap, score FROM v_sc"))
 def _(spark, sf):
-    return scores(spark, sf).select("doc_id", "schema_version_id", "overlap", rounded())
+    return schemas.schema_match(*match_inputs(spark, sf))
 
 
 @check(
     "m08_best_match",
-    O.sql(MATCH, """SELECT doc_id, CAST(round(max(score)::DOUBLE, 6) AS DECIMAL(10,6))::VARCHAR AS score FROM v_sc WHERE overlap >= 2 AND score >= 0.6 GROUP BY doc_id"""),
+    O.sql(MATCH, """SELECT doc_id, schema_version_id, overlap, score FROM v_sc WHERE overlap >= 2 AND score >= 0.1
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, schema_version_id) = 1"""),
 )
 def _(spark, sf):
-    return schemas.best_match(scores(spark, sf)).select("doc_id", rounded())
+    # A version of many documents has many keys, of which one document holds few.
+    return schemas.best_schemas(*match_inputs(spark, sf), min_score=0.1)
 
 
 @check(
@@ -348,15 +351,15 @@ def _(spark, sf):
 
 @check(
     "r11_commit_fields",
-    O.sql([*q_structure.BASE, q_structure.KVF, """
-      v_n AS (SELECT *, doc_id AS extraction_id, 'purchase' AS schema_key, value AS extracted_value, NULL::VARCHAR AS corrected_value, 'needs_review' AS review_state, (major * 100 + minor) AS sort_order, major * 100 + minor AS field_id,
-        CASE WHEN confidence_score >= 0.85 THEN 'high' ELSE 'medium' END AS confidence_state FROM v_kvf)""", O.typed("v_n", "v_t"), O.single("v_t", "v_one")],
-        """SELECT extraction_id, path, value_text, CAST(value_numeric AS VARCHAR) AS value_numeric, value_date, validation_state, CASE WHEN needs_attention THEN 'needs_review' ELSE 'auto_accepted' END AS review_state FROM v_one"""),
+    O.sql([*q_structure.FULL, """
+      v_n AS (SELECT *, doc_id AS extraction_id, 'purchase' AS schema_key, value AS extracted_value, NULL::VARCHAR AS corrected_value, 'needs_review' AS review_state,
+        row_number() OVER (PARTITION BY doc_id ORDER BY stage, major, minor, row_no, column_no) AS sort_order, row_number() OVER () AS field_id,
+        CASE WHEN confidence_score >= 0.85 THEN 'high' ELSE 'medium' END AS confidence_state FROM v_all)""", O.typed("v_n", "v_t"), O.single("v_t", "v_one"), q_rules.RULES],
+        """SELECT extraction_id, path, value_text, CAST(value_numeric AS VARCHAR) AS value_numeric, value_date, validation_state, CASE WHEN needs_attention THEN 'needs_review' ELSE 'auto_accepted' END AS review_state FROM v_valid"""),
 )
 def _(spark, sf):
-    found = structure.fields_from_kv(q_structure.keyed(spark, sf))
-    order = F.col("major") * 100 + F.col("minor")
-    rows = found.withColumns({"extraction_id": F.col("doc_id"), "sort_order": order, "field_id": order})
+    place = F.struct("stage", "major", "minor", "row_no", "column_no")
+    rows = q_structure.every_field(spark, sf).withColumns({"extraction_id": F.col("doc_id"), "sort_order": place, "field_id": place})
     done = structuring.committed_fields(rows, "purchase")
     return done.select("extraction_id", "path", "value_text", F.col("value_numeric").cast("string").alias("value_numeric"), "value_date", "validation_state", "review_state")
 

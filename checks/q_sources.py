@@ -6,12 +6,14 @@ import tempfile
 from pyspark.sql import functions as F
 
 from docrecords.operators import records, tagging
+from docrecords.plans import processing
 from docrecords.plans.stages import stage_root
 from docrecords.sources import export, files, store
 from docrecords.streaming import events, ingest
 
 from . import oracle_base as O
-from . import q_records
+from . import oracle_text as X
+from . import q_canonical, q_records, q_rules, q_structure
 from . import views as V
 
 QUERIES = {}
@@ -162,7 +164,7 @@ def _(spark, sf):
 REQUESTS = f"""
 v_req AS (SELECT 'o' || o_orderkey AS id, (['Show invoices from ' || lower(c_name) || ' over $1,234.567', 'USD invoices between 500 and 1,000.5 in 1997 in 2021', 'approved ' || c_name || ' at least 20 eur', 'needs review before 2024-05-06 after 2023-01-02 €',
    'pending amounts at most 7 or above 9', 'mention ' || c_mktsegment || ' Trucks', '   ', 'less than £5 dollars'])[o_orderkey % 8 + 1] AS text FROM orders JOIN customer ON c_custkey = o_custkey
-  UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations WHERE role = 'user')"""
+  UNION ALL SELECT 'c' || conv_id || '_' || turn, text FROM conversations)"""
 
 
 @V.view
@@ -175,7 +177,7 @@ def requests(spark, sf):
         F.concat(s("mention "), "c_mktsegment", s(" Trucks")), s("   "), s("less than £5 dollars"),
     )
     o = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    turns = V.table(spark, sf, "conversations").filter("role = 'user'")
+    turns = V.table(spark, sf, "conversations")
     return o.select(F.concat(s("o"), k.cast("string")).alias("id"), F.element_at(shapes, (k % 8 + 1).cast("int")).alias("text")).unionByName(
         turns.select(F.concat(s("c"), F.col("conv_id").cast("string"), s("_"), F.col("turn").cast("string")).alias("id"), "text")
     )
@@ -253,32 +255,89 @@ def _(spark, sf):
 # --- streams -------------------------------------------------------------------------------
 
 
+# Pages as HTML, documents as Markdown, customers of a nation as CSV, and files that cannot be taken.
+_CELLS = "c_custkey || chr(9) || c_name || ', ' || c_mktsegment || chr(9) || c_mktsegment || chr(9)"
+INGESTED = f"""
+v_files AS (SELECT 'p' || page_id || '.html' AS doc_id, page_id % 2 AS part, 'html' AS kind, sha256('<!-- ' || page_id || ' -->' || html) AS hash FROM pages
+  UNION ALL SELECT 'd' || doc_id || '.md', doc_id % 2, 'md', sha256(text) FROM documents
+  UNION ALL SELECT 'n' || n_nationkey || '.csv', n_nationkey % 2, 'csv', 'n' || n_nationkey FROM nation
+  UNION ALL SELECT 'x' || r_regionkey || CASE WHEN r_regionkey % 2 = 0 THEN '.exe' ELSE '.txt' END, r_regionkey % 2, 'bad', 'x' || r_regionkey FROM region),
+v_first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY part, doc_id) AS nth FROM v_files) WHERE nth = 1),
+v_html AS ({q_canonical._html_sql()}),
+v_csv AS (SELECT n_nationkey, 'Customer No' || chr(9) || 'Name' || chr(9) || 'Segment' || chr(9) || 'Note' || coalesce(string_agg(chr(10) || {_CELLS}, '' ORDER BY c_custkey), '') AS text
+  FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey),
+v_all_text AS (SELECT 'p' || page_id || '.html' AS doc_id, text FROM v_html
+  UNION ALL SELECT 'd' || doc_id || '.md', regexp_replace(text, '\\r\\n?', chr(10), 'g') FROM documents UNION ALL SELECT 'n' || n_nationkey || '.csv', text FROM v_csv),
+v_docs_text AS MATERIALIZED (SELECT doc_id, text FROM v_all_text SEMI JOIN v_first USING (doc_id) WHERE {O.trim("text")} <> '')"""
+COMMITTED = [
+    INGESTED if part is X.TEXTS else part for part in q_structure.FULL
+]
+
+
 @check(
     "i01_incremental_ingest",
-    "SELECT page_id, 'html' AS format, 'succeeded' AS processing_status FROM pages",
+    O.sql([*COMMITTED, """
+      v_n AS (SELECT *, doc_id AS extraction_id, 'adhoc' AS schema_key, value AS extracted_value, NULL::VARCHAR AS corrected_value, 'needs_review' AS review_state,
+        row_number() OVER (PARTITION BY doc_id ORDER BY stage, major, minor, row_no, column_no) AS sort_order, row_number() OVER () AS field_id,
+        CASE WHEN confidence_score >= 0.85 THEN 'high' ELSE 'medium' END AS confidence_state FROM v_all)""", O.typed("v_n", "v_t"), O.single("v_t", "v_one"), q_rules.RULES],
+        """SELECT extraction_id AS original_filename, path, sort_order, value_text, CAST(value_numeric AS VARCHAR) AS value_numeric, value_date, validation_state,
+           CASE WHEN needs_attention THEN 'needs_review' ELSE 'auto_accepted' END AS review_state FROM v_valid
+         UNION ALL SELECT f.doc_id, NULL, NULL, CASE WHEN t.doc_id IS NOT NULL THEN NULL WHEN f.doc_id LIKE '%.exe' THEN 'UNSUPPORTED_FILE' ELSE 'EMPTY_DOCUMENT' END, NULL, NULL, NULL,
+           CASE WHEN t.doc_id IS NULL THEN 'failed' ELSE 'succeeded' END FROM v_first f LEFT JOIN v_docs_text t ON t.doc_id = f.doc_id"""),
 )
 def _(spark, sf):
+    """Two runs over one folder, the second with a new checkpoint: it meets the first run's files again."""
     path = folder(spark, "ingest")
-    pages = V.table(spark, sf, "pages")
-    named = pages.select("page_id", F.concat(F.lit("<!-- "), F.col("page_id").cast("string"), F.lit(" -->"), "html").alias("value"))
     for part in (0, 1):
-        _write_pages(spark, named.filter(F.col("page_id") % 2 == part), f"{path}/in", part)
-        ingest.ingest_stream(spark, f"{path}/in", f"{path}/store", f"{path}/state").awaitTermination()
-    stored = spark.read.parquet(f"{path}/store/documents")
-    return stored.select(F.regexp_extract("original_filename", "p(\\d+)", 1).cast("bigint").alias("page_id"), "format", "processing_status")
+        _write_files(ingest_files(spark, sf).filter(F.col("part") == part), f"{path}/in")
+        ingest.ingest_stream(spark, f"{path}/in", f"{path}/store", f"{path}/state{part}").awaitTermination()
+    documents = processing.committed_table(spark, f"{path}/store", "documents")
+    fields = processing.committed_table(spark, f"{path}/store", "fields").join(documents.select("doc_id", "original_filename"), "doc_id")
+    null = F.lit(None).cast("string")
+    return fields.select(
+        "original_filename", "path", "sort_order", "value_text", F.col("value_numeric").cast("string").alias("value_numeric"), "value_date", "validation_state", "review_state"
+    ).unionByName(
+        documents.select(
+            "original_filename", null.alias("path"), F.lit(None).cast("int").alias("sort_order"), F.col("reject_code").alias("value_text"),
+            null.alias("value_numeric"), null.alias("value_date"), null.alias("validation_state"), F.col("processing_status").alias("review_state"),
+        )
+    )
+
+
+def ingest_files(spark, sf):
+    """(name, part, content) of the files of the check."""
+
+    def file(key, letter, ending, content):
+        name = F.concat(F.lit(letter), key.cast("string"), ending)
+        return (name.alias("name"), (key % 2).cast("int").alias("part"), content.alias("content"))
+
+    k = F.col("page_id")
+    pages = V.table(spark, sf, "pages").select(*file(k, "p", F.lit(".html"), F.concat(F.lit("<!-- "), k.cast("string"), F.lit(" -->"), "html")))
+    documents = V.table(spark, sf, "documents").select(*file(F.col("doc_id"), "d", F.lit(".md"), F.col("text")))
+    quoted = F.concat(F.lit('"'), "c_name", F.lit(", "), "c_mktsegment", F.lit('"'))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), quoted, "c_mktsegment", F.lit("\r\n"))
+    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("line")))), lambda r: r["line"]), "")
+    customers = V.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(lines.alias("lines"))
+    nations = V.table(spark, sf, "nation").join(customers, "n_nationkey", "left")
+    text = F.concat(F.lit("Customer No,Name,Segment,Note\r\n"), F.coalesce("lines", F.lit("")))
+    tables = nations.select(*file(F.col("n_nationkey"), "n", F.lit(".csv"), text))
+    r = F.col("r_regionkey")
+    blank = F.concat(F.lit(" \n"), F.repeat(F.lit("\t"), r.cast("int")))
+    bad = V.table(spark, sf, "region").select(*file(r, "x", F.when(r % 2 == 0, ".exe").otherwise(".txt"), blank))
+    return pages.unionByName(documents).unionByName(tables).unionByName(bad)
 
 
-def _write_pages(spark, pages, target, part):
-    """One file per page, written by the executors (every page is one partition value)."""
+def _write_files(rows, target):
+    """One file for each row, written by the executors."""
 
     def write(rows):
         os.makedirs(target, exist_ok=True)
         for r in rows:
-            with open(f"{target}/.p{r.page_id}.tmp", "w", encoding="utf8") as out:
-                out.write(r.value)
-            os.replace(f"{target}/.p{r.page_id}.tmp", f"{target}/p{r.page_id}.html")
+            with open(f"{target}/.{r.name}.tmp", "w", encoding="utf8", newline="") as out:
+                out.write(r.content)
+            os.replace(f"{target}/.{r.name}.tmp", f"{target}/{r.name}")
 
-    pages.foreachPartition(write)
+    rows.foreachPartition(write)
 
 
 @check("i02_stream_dedupe", "SELECT sha256(html) AS sha256 FROM pages GROUP BY 1")

@@ -9,6 +9,7 @@ from docrecords.plans.stages import stage
 
 from . import oracle_base as O
 from . import oracle_text as X
+from . import q_canonical
 from . import views as V
 from .q_functions import camel, human, infer, norm
 
@@ -231,7 +232,7 @@ def _(spark, sf):
 
 
 LEAVES = f"""
-v_assigned AS (SELECT doc_id, doc_id % 2 AS schema_version_id FROM v_docs_text WHERE doc_id >= 0),
+v_assigned AS (SELECT doc_id, abs(doc_id) % 2 AS schema_version_id FROM v_docs_text),
 v_leafs AS (SELECT v AS schema_version_id, s AS leaf_key, s AS key, label, 'details' AS field_group, type, length(s) % 3 = 0 AS required, length(s) % 2 = 0 AS material FROM (
    SELECT {camel("key")} AS s, min(key) AS label, min({infer("value")}) AS type FROM v_kv GROUP BY 1 UNION ALL SELECT DISTINCT event_type, 'The ' || event_type, 'string' FROM events), (SELECT unnest([0, 1]) AS v)
    WHERE v = 1 OR length(s) % 2 = 0),
@@ -247,7 +248,7 @@ WSHOWN = 'doc_id, path, schema_field_key, label, field_group, type, required, ma
 
 @V.view
 def assigned(spark, sf):
-    return V.texts(spark, sf).filter(F.col("doc_id") >= 0).select("doc_id", (F.col("doc_id") % 2).alias("schema_version_id"))
+    return V.texts(spark, sf).select("doc_id", (F.abs("doc_id") % 2).alias("schema_version_id"))
 
 
 @V.view
@@ -274,26 +275,23 @@ def _(spark, sf):
 
 
 COLUMN_LEAVES = f"""
-v_hs AS (SELECT DISTINCT {camel("header")} AS s, header FROM v_cells WHERE doc_id >= 0 AND header <> ''),
+v_hs AS (SELECT s, min(header) AS header FROM (SELECT {camel("header")} AS s, header FROM v_cells WHERE header <> '' UNION ALL SELECT event_type, event_type FROM events) GROUP BY s),
 v_cleaf AS (SELECT v AS schema_version_id, 'goods' AS array_key, 'goods[].' || s AS leaf_key, s AS key, header AS label, 'goods' AS field_group, 'decimal' AS type, false AS required, true AS material
-   FROM (SELECT s, header FROM v_hs UNION ALL SELECT DISTINCT event_type, event_type FROM events), (SELECT unnest([0, 1]) AS v) WHERE v = 1 OR s IN ('item', 'qty', 'code')),
-v_score AS (SELECT a.doc_id, r.table_no, len(list_filter(list_transform(r.h, lambda x: {camel("x")}), lambda y: y IN (SELECT l.key FROM v_cleaf l WHERE l.schema_version_id = a.schema_version_id))) AS score
-   FROM v_assigned a JOIN v_rows r ON r.doc_id = a.doc_id AND r.table_row = 0)"""
-SCORE2 = f"""
+   FROM v_hs, (SELECT unnest([0, 1]) AS v) WHERE v = 1 OR s IN ('item', 'qty', 'code'))"""
+TABLE_SCORE = f"""
 v_heads AS (SELECT doc_id, table_no, {camel("hh")} AS slug FROM (SELECT doc_id, table_no, unnest(h) AS hh FROM v_rows WHERE table_row = 0)),
 v_score AS (SELECT a.doc_id, r.table_no, count(*) AS score FROM v_assigned a JOIN v_heads r ON r.doc_id = a.doc_id
    WHERE EXISTS (SELECT 1 FROM v_cleaf l WHERE l.schema_version_id = a.schema_version_id AND r.slug IN ({camel("l.key")}, {camel("l.label")})) GROUP BY ALL),
 v_best AS (SELECT doc_id, arg_max(table_no, (score, -table_no)) AS table_no, max(score) AS score FROM v_score GROUP BY doc_id)"""
-ARRAYS = [*X.PARSE, X.KV, X.TABLES, LEAVES, COLUMN_LEAVES[: COLUMN_LEAVES.index("v_score")].rstrip(",\n "), SCORE2]
+ARRAYS = [*X.PARSE, X.KV, X.TABLES, LEAVES, COLUMN_LEAVES, TABLE_SCORE]
 
 
 @V.view
 def column_leaves(spark, sf):
-    c = cells(spark, sf).filter((F.col("doc_id") >= 0) & (F.col("header") != ""))
-    heads = c.select(T.slug_camel(F.col("header")).alias("key"), F.col("header").alias("label")).distinct()
-    e = V.table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_type").alias("label")).distinct()
+    heads = cells(spark, sf).filter("header <> ''").select(T.slug_camel(F.col("header")).alias("key"), F.col("header").alias("label"))
+    e = V.table(spark, sf, "events").select(F.col("event_type").alias("key"), F.col("event_type").alias("label"))
     return (
-        heads.unionByName(e)
+        heads.unionByName(e).groupBy("key").agg(F.min("label").alias("label"))
         .select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("schema_version_id"))
         .filter((F.col("schema_version_id") == 1) | F.col("key").isin("item", "qty", "code"))
         .select("schema_version_id", F.lit("goods").alias("array_key"), F.concat(F.lit("goods[]."), "key").alias("leaf_key"), "key", "label",
@@ -351,19 +349,20 @@ def proposals(spark, sf):
         F.when(no % 3 != 0, (no * 9 + 50) / 100.0).alias("confidence"),
         F.when(pair == 1, F.concat(F.lit("never "), "value")).otherwise(F.col("value")).alias("quote"),
     )
-    return structure.ground_proposals(rows, V.texts(spark, sf))
+    return structure.ground_proposals(rows, V.texts(spark, sf), q_canonical.text_pages(V.texts(spark, sf)))
 
 
 @check(
     "x16_ground_proposals",
     O.sql([*X.PARSE, X.KV, PROPOSALS], f"""SELECT doc_id, position, CASE WHEN path = '' THEN key ELSE path END AS path, CASE WHEN label = '' THEN {human("key")} ELSE label END AS label,
       CASE WHEN contains(path, '[') THEN 'records' ELSE 'details' END AS field_group, CASE WHEN value IS NULL THEN 'not_found' ELSE presence END AS presence_state, value,
-      CAST(confidence_score AS DECIMAL(6,4))::VARCHAR AS confidence_score, {_BAND} AS confidence_state, CASE WHEN g THEN 'grounded' ELSE 'unresolved' END AS grounding_status, (CASE WHEN g THEN found_at ELSE 0 END)::INT AS start FROM v_prop"""),
+      CAST(confidence_score AS DECIMAL(6,4))::VARCHAR AS confidence_score, {_BAND} AS confidence_state, CASE WHEN g THEN 'grounded' ELSE 'unresolved' END AS grounding_status, (CASE WHEN g THEN found_at ELSE 0 END)::INT AS start,
+      CASE WHEN g THEN found_at // 700 + 1 END::INT AS page FROM v_prop"""),
 )
 def _(spark, sf):
     return proposals(spark, sf).select(
         "doc_id", "position", "path", "label", "field_group", "presence_state", "value",
-        F.col("confidence_score").cast("decimal(6,4)").cast("string").alias("confidence_score"), "confidence_state", "grounding_status", "start",
+        F.col("confidence_score").cast("decimal(6,4)").cast("string").alias("confidence_score"), "confidence_state", "grounding_status", "start", "page",
     )
 
 

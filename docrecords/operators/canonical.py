@@ -492,45 +492,133 @@ def latest_parse(parses: DataFrame, version: str = V.PARSER_VERSION) -> DataFram
     return newest.select("doc_id", "p.*").filter(F.col("parser_version") == version)
 
 
-def _loose_pattern(quote: Column) -> Column:
-    """Quote with any case and white space.
+QUOTES_AT_ONCE = 1024
 
-    A run of white space before the hit collapses to one character, so the hit starts at the
-    second character of the run (at the very start of the text: at its first).
+
+def _folded(text: Column) -> Column:
+    """White space collapsed and trimmed, in lower case; as many characters as without the case."""
+    return F.lower(F.translate(F.regexp_replace(trim_ws(text), V.WS + "+", " "), "\u0130", "i"))
+
+
+def _collapsed_runs(text: Column) -> Column:
+    """Where runs of two white-space characters or more end: array of struct(at, to, run).
+
+    `at` is the place in the collapsed text, `to` that in the text, `run` the run's length; the first entry
+    is the start of the trimmed text.  Between two entries both count alike, so that a text without such
+    runs has one entry.
+    """
+    bare = trim_ws(text)
+    gap = V.WS + "{2,}"
+    lead = F.length(text) - F.length(F.ltrim(text, F.lit(V.WS_LITERAL)))
+
+    def entries(piece: Column) -> Column:
+        run = F.transform(F.regexp_extract_all(bare, F.lit(gap), F.lit(0)), F.length)
+        return scan(
+            F.arrays_zip(piece.alias("piece"), F.concat(F.array(F.lit(0)), run).alias("run")),
+            F.struct(F.lit(0).alias("at"), lead.alias("to")),
+            lambda state, x: F.struct(
+                (state["at"] + F.length(x["piece"]) + 1).alias("at"),
+                (state["to"] + x["run"] + F.length(x["piece"])).alias("to"),
+            ),
+            lambda state, x: F.struct(state["at"].alias("at"), (state["to"] + x["run"]).alias("to"), x["run"].alias("run")),
+            "struct<at:int,to:int,run:int>",
+        )
+
+    return let(F.split(bare, gap, -1), entries)
+
+
+def _located(text: Column, quotes: Column) -> Column:
+    """Array of struct(quote, start, end) of the quotes found in a text; quotes are trimmed and not empty.
+
+    What is not found as it stands is looked for in the folded text, which is made once, and its place is
+    led back over the map of collapsed runs.  White space before such a hit collapses to one character, so
+    a hit behind a longer run starts at the run's second character (at the very start of the text: at its
+    first).
     """
-    words = F.split(F.regexp_replace(trim_ws(quote), V.WS + "+", " "), " ")
-    quoted = F.transform(words, lambda w: F.regexp_replace(w, r"([^A-Za-z0-9 \u0080-\uFFFF])", r"\\$1"))
-    run = f"(?:(?:\\A|(?<={V.NOT_WS}{V.WS})){V.WS}+)?"
-    return F.concat(F.lit("(?iu)" + run), F.array_join(quoted, V.WS + "+"))
+    exact = F.transform(
+        quotes,
+        lambda q: let(
+            F.instr(text, q),
+            lambda at: F.struct(
+                q.alias("quote"),
+                F.when(at > 0, at - 1).alias("start"),
+                F.when(at > 0, at - 1 + F.length(q)).alias("end"),
+            ),
+        ),
+    )
+
+    def loosely(found: Column, folded: Column, runs: Column) -> Column:
+        def entry(place: Column) -> Column:
+            return F.element_at(F.filter(runs, lambda r: r["at"] <= place), -1)
+
+        def led_back(q: Column, at: Column) -> Column:
+            start = let(
+                entry(at - 1),
+                lambda r: F.when(at == 1, 0)
+                .when((r["at"] == at - 1) & (r["run"] > 1), r["to"] - r["run"] + 1)
+                .otherwise(r["to"] + at - 1 - r["at"]),
+            )
+            last = at + F.length(_folded(q)) - 2
+            end = let(entry(last), lambda r: r["to"] + last - r["at"] + 1)
+            return F.struct(q.alias("quote"), start.alias("start"), end.alias("end"))
+
+        def search(f: Column) -> Column:
+            hit = let(F.instr(folded, _folded(f["quote"])), lambda at: F.when(at > 0, led_back(f["quote"], at)))
+            return F.when(f["start"].isNotNull(), f).otherwise(hit)
+
+        return F.transform(found, search)
 
+    def settled(found: Column) -> Column:
+        missing = F.exists(found, lambda f: f["start"].isNull())
+        loose = let(_folded(text), lambda folded: let(_collapsed_runs(text), lambda runs: loosely(found, folded, runs)))
+        return F.when(missing, loose).otherwise(found)
 
-def resolve_quotes(quotes: DataFrame, parses: DataFrame) -> DataFrame:
+    return F.array_compact(let(exact, settled))
+
+
+def resolve_quotes(
+    quotes: DataFrame, parses: DataFrame, pages: DataFrame | None = None, at_once: int = QUOTES_AT_ONCE
+) -> DataFrame:
     """Locate quotes in the text of their document: exactly, else ignoring case and white space.
 
-    A quote whose document has no parse is unresolved.
+    Adds `grounding_status`, `start`, `end` and `page` (of grounded quotes whose document has `pages`:
+    doc_id, page, page_start).  A quote whose document has no parse is unresolved.
+
+    A text meets the distinct quotes of its document in one row, so texts are not repeated for each quote.
+    Quotes of a document beyond `at_once` are dealt into blocks, each of which meets the text in a row of
+    its own: time grows with the number of quotes, and a document with very many is worked on in parallel.
     """
     q = trim_ws(F.col("quote"))
-    joined = quotes.join(parses.select("doc_id", "text"), "doc_id", "left")
-    exact = F.instr(F.col("text"), q)
-    located = joined.withColumn("_exact", exact)
-    # The loose search runs only where the exact one failed.
-    loose = F.regexp_substr("text", _loose_pattern(F.col("quote")))
-    located = located.withColumn("_hit", F.when((F.col("_exact") == 0) & (q != ""), loose))
-    start = F.when(F.col("_exact") > 0, F.col("_exact") - 1).when(
-        F.col("_hit").isNotNull(), F.instr(F.col("text"), F.col("_hit")) - 1
+    wanted = quotes.select("doc_id", q.alias("_q")).filter("_q <> ''").distinct()
+    blocks = F.ceil(F.count(F.lit(1)) / at_once).cast("int")
+    counts = wanted.groupBy("doc_id").agg(blocks.alias("_blocks"))
+    many = counts.filter("_blocks > 1")
+    block = F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64("_q"), F.col("_blocks"))).otherwise(0).cast("int")
+    dealt = (
+        wanted.join(many, "doc_id", "left")
+        .groupBy("doc_id", block.alias("_block"))
+        .agg(F.collect_list("_q").alias("_quotes"))
     )
-    length = F.when(F.col("_exact") > 0, F.length(q)).otherwise(F.length("_hit"))
-    status = (
-        F.when(q == "", "none").when(start.isNotNull(), "grounded").otherwise("unresolved")
+    texts = parses.select("doc_id", "text").join(counts, "doc_id")
+    texts = texts.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    found = (
+        texts.join(dealt, ["doc_id", "_block"])
+        .select("doc_id", F.explode_outer(_located(F.col("text"), F.col("_quotes"))).alias("_hit"))
+        .filter(F.col("_hit").isNotNull())
+        .select("doc_id", F.col("_hit.quote").alias("_q"), F.col("_hit.start").alias("_start"), F.col("_hit.end").alias("_end"))
     )
-    grounded = status == "grounded"
-    return located.withColumns(
-        {
-            "grounding_status": status,
-            "start": F.when(grounded, start).otherwise(0).cast("int"),
-            "end": F.when(grounded, start + length).otherwise(0).cast("int"),
-        }
-    ).drop("_exact", "_hit", "text")
+    located = quotes.withColumn("_q", q).join(found, ["doc_id", "_q"], "left")
+    status = F.when(F.col("_q") == "", "none").when(F.col("_start").isNotNull(), "grounded").otherwise("unresolved")
+    located = located.select(
+        *[F.col(f"`{c}`") for c in quotes.columns],
+        status.alias("grounding_status"),
+        F.coalesce("_start", F.lit(0)).cast("int").alias("start"),
+        F.coalesce("_end", F.lit(0)).cast("int").alias("end"),
+    )
+    if pages is None:
+        return located.withColumn("page", F.lit(None).cast("int"))
+    paged = page_for_offset(located, pages)
+    return paged.withColumn("page", F.when(F.col("grounding_status") == "grounded", F.col("page")))
 
 
 def span_text(text: Column, start: Column, end: Column) -> Column:

@@ -7,11 +7,11 @@ and reads few columns, so pushdown and pruning do the rest.
 Groups never exceed one document, whose size ingest triage bounds.
 """
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
-from ..functions.arrays import scan
 from ..functions.text import humanize_label, is_blank, slug_camel, trim_ws
 from ..functions.typing import (
     confidence_band,
@@ -41,43 +41,49 @@ def section_key(heading: Column) -> Column:
 # --- unique keys ---------------------------------------------------------------------------
 
 
+def _numbered(rows: pa.Table) -> pa.Table:
+    """Keys of one group of bases that share what stands before their digits, in order.
+
+    A base's numbers only grow, so the next one to try is kept for each base: as a key once taken stays
+    taken, every number is tried once.
+    """
+    rows = rows.sort_by("_place")
+    taken: set[str] = set()
+    following: dict[str, int] = {}
+    keys = []
+    for base in rows.column("base").to_pylist():
+        key, n = base, following.get(base, 2)
+        while key in taken:
+            key, n = f"{base}{n}", n + 1
+        if key != base:
+            following[base] = n
+        taken.add(key)
+        keys.append(key)
+    return rows.set_column(rows.schema.get_field_index("key"), "key", pa.array(keys, pa.string()))
+
+
 def unique_keys(candidates: DataFrame) -> DataFrame:
     """Give every candidate (doc_id, order, base) its first-seen unique key.
 
     The n-th use of a base gets `base`, `base2`, `base3`, …, skipping keys already taken.  Two keys
-    can only meet when they agree up to trailing digits, so that prefix is the group, and a group
-    with a single base is numbered without looking at what is taken.
+    can only meet when they agree up to trailing digits, so that prefix is the group.  A group with a
+    single base is numbered by a window.  Groups in which bases end in digits of their own (`total`,
+    `total2`) are rare; they keep a table of the next number to try and are numbered in one pass.  Rows
+    are partitioned once, and both ways are linear but for the sort.
     """
-    others = [c for c in candidates.columns if c not in ("doc_id", "order", "base")]
-    entry = F.struct("order", "base", *others)
-    groups = candidates.groupBy("doc_id", F.regexp_replace("base", r"\d+\z", "").alias("_root")).agg(
-        F.sort_array(F.collect_list(entry)).alias("_all"),
-        (F.min("base") == F.max("base")).alias("_single"),
-    )
-    bases = F.transform("_all", lambda e: e["base"])
-    counted = F.transform(
-        bases, lambda b, i: F.concat(b, F.when(i == 0, "").otherwise((i + 1).cast("string")))
-    )
-
-    def fresh(used: Column, base: Column) -> Column:
-        numbered = F.transform(
-            F.sequence(F.lit(2), F.size(used) + 2), lambda n: F.concat(base, n.cast("string"))
-        )
-        free = F.element_at(F.array_except(numbered, used), 1)
-        return F.when(~F.array_contains(used, base), base).otherwise(free)
-
-    taken = scan(
-        bases,
-        F.array().cast("array<string>"),
-        lambda used, base: F.concat(used, F.array(fresh(used, base))),
-        fresh,
-        "string",
-    )
-    keys = F.when(F.col("_single"), counted).otherwise(taken)
-    zipped = F.zip_with("_all", keys, lambda e, k: F.struct(e.alias("e"), k.alias("key")))
-    return groups.select("doc_id", F.explode_outer(zipped).alias("z")).select(
-        "doc_id", *[F.col(f"z.e.{c}").alias(c) for c in ("order", "base", *others)], F.col("z.key").alias("key")
+    names = [c for c in candidates.columns if c not in ("doc_id", "order", "base")]
+    group = Window.partitionBy("doc_id", "_root")
+    rows = candidates.withColumn("_root", F.regexp_replace("base", r"\d+\z", "")).withColumns(
+        {
+            "_place": F.row_number().over(group.orderBy("order")),
+            "_single": F.min("base").over(group) == F.max("base").over(group),
+        }
     )
+    number = F.when(F.col("_place") > 1, F.col("_place").cast("string")).otherwise("")
+    rows = rows.withColumn("key", F.when(F.col("_single"), F.concat("base", number)))
+    several = rows.filter(~F.col("_single"))
+    numbered = several.groupBy("doc_id", "_root").applyInArrow(_numbered, several.schema)
+    return rows.filter("_single").unionByName(numbered).select("doc_id", "order", "base", *names, "key")
 
 
 def _order(stage: int, major: Column, minor: Column) -> Column:
@@ -740,10 +746,10 @@ def fill_missing(fields: DataFrame, assigned: DataFrame, leaves: DataFrame) -> D
 # --- second source -------------------------------------------------------------------------
 
 
-def ground_proposals(proposals: DataFrame, parses: DataFrame) -> DataFrame:
-    """Score proposed fields: locate the quote, cap what is not grounded at 0.5, set presence."""
+def ground_proposals(proposals: DataFrame, parses: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Score proposed fields: locate the quote and its page, cap what is not grounded at 0.5, set presence."""
     located = canonical.resolve_quotes(
-        proposals.withColumn("quote", F.coalesce("quote", F.lit(""))), parses
+        proposals.withColumn("quote", F.coalesce("quote", F.lit(""))), parses, pages
     )
     base = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.5))))
     grounded = F.col("grounding_status") == "grounded"

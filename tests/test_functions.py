@@ -135,5 +135,5 @@ def test_ingest_reads_delimited_files_and_a_second_stream_adds(spark, tmp_path):
         ingest.ingest_stream(spark, f"{tmp_path}/in", f"{tmp_path}/store", f"{tmp_path}/{run}").awaitTermination()
     rows = {r.original_filename: r for r in spark.read.parquet(f"{tmp_path}/store/documents").collect()}
     assert sorted(rows) == ["a.csv", "b.html", "c.txt", "one.txt", "two.txt"]
-    assert rows["a.csv"].text.strip() == 'Name\tNote\nDoe, J\tx "y" z\n1\t\t3\n5" pipe\t2'
+    assert rows["a.csv"].text.strip() == 'Name\tNote\nDoe, J\tx "y" z\n1\t\t3\n5 pipe,2'
     assert (rows["b.html"].reject_code, rows["b.html"].processing_status) == ("EMPTY_DOCUMENT", "failed")
