@@ -31,4 +31,12 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     spark = df.sparkSession
     path = f"{stage_root(spark)}/stage-{uuid.uuid4().hex}/{name}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stage_path = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Empty stage tables that no later step reads: their files go, an empty table of the same columns stays."""
+    for table in tables:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(table.stage_path)
