@@ -85,3 +85,10 @@ def shared_stage(df: DataFrame, name: str) -> DataFrame:
     from ..plans.stages import stage
 
     return stage(df, name)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables that `shared_stage` wrote and that nothing reads any more."""
+    from ..plans.stages import discard
+
+    discard(*tables)

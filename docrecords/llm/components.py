@@ -8,7 +8,7 @@ comes to the driver.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_stage
+from .common import forget, shared_stage
 
 _EMPTY = "u long, v long"
 
@@ -46,6 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == before:
             break
         before = mark
-        now = shared_stage(_small_star(_large_star(now)), "edges")
+        done, now = now, shared_stage(_small_star(_large_star(now)), "edges")
+        forget(done)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

@@ -21,9 +21,12 @@ with each other across the components, which completes the links.  So copies and
 components is lost.  Such a bucket is dealt into blocks of about `BLOCK` nodes, and two blocks meet in
 one unit of work, so that a unit's memory and time are bounded however large the bucket is.
 
-Comparisons.  A sketch counts a set's elements in `SKETCH` cells.  The differences of two sketches are
-never more than those of the sets, so pairs whose sizes or sketches differ too much are dropped exactly;
-only for the others are the whole sets made again from the texts and moved.
+Comparisons.  Pairs are dropped exactly by their sizes first.  A sketch counts a set's elements in cells of
+the leading bits of their hashes: `SKETCH` cells, and for larger sets so many that a cell has `CELL_ITEMS`
+elements or fewer on average; the longer of two sketches is folded to the length of the shorter one.  The
+differences of two sketches are never more than those of the sets, so pairs whose sketches differ too much
+are dropped exactly as well; only for the others are the whole sets made again from the texts and moved.
+Tables that no later step reads are removed on the way.
 
 Results for odd inputs: null texts and texts without words have no shingles and stay alone; fewer words
 than a shingle make one shingle; rows that repeat a document are in its component; a null id counts as
@@ -38,16 +41,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, blank_words, shared_stage, text_bytes
+from .common import add_columns, blank_words, forget, shared_stage, text_bytes
 from .components import components
 
 SHINGLE = 4
 PERCENT = 85
-PARTS = 3
+PARTS = 2
 SPARE = 2
 BAND_RATIO = 1.5
 CACHED_WORDS = 200_000
 SKETCH = 256
+CELL_ITEMS = 4
 BLOCK = 4096
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -108,7 +112,8 @@ def instances(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     """(instance, most differences k) a set of this size takes part in; k = 0 needs none."""
     j = band_of(size)
     found = []
-    for instance in (j, j + 1):
+    # Up to the band of the largest set that one of this size can be similar to.
+    for instance in range(j, band_of(100 * size // percent) + 1):
         least = 2 if instance == 0 else band_top(instance - 1)
         if instance > j and 100 * size < percent * least:
             continue
@@ -169,8 +174,35 @@ def with_node(docs: DataFrame, name: str, shingle: int = SHINGLE) -> DataFrame:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    cells = (shingles >> np.uint64(56)).astype(np.int64)
-    return np.minimum(np.bincount(cells, minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    bits = max(SKETCH.bit_length() - 1, (len(shingles) // CELL_ITEMS).bit_length())
+    cells = (shingles >> np.uint64(64 - bits)).astype(np.int64)
+    return np.minimum(np.bincount(cells, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def folded(cells: np.ndarray, width: int) -> np.ndarray:
+    """Sketches in rows, with neighbouring cells added up until `width` are left."""
+    return cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32)
+
+
+def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For pairs of sketches, a number that the sets' differences are never below.
+
+    A cell that is full (255) may stand for more, so such a sketch tells nothing.
+    """
+    lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for one, other in np.unique(lengths, axis=0).tolist():
+        every = np.flatnonzero((lengths == (one, other)).all(axis=1))
+        step = max(1, 8_000_000 // max(one, other))
+        for k in range(0, len(every), step):
+            at = every[k : k + step]
+            a = np.frombuffer(b"".join([x[i] for i in at]), np.uint8).reshape(len(at), one)
+            b = np.frombuffer(b"".join([y[i] for i in at]), np.uint8).reshape(len(at), other)
+            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+            width = min(one, other)
+            apart = np.abs(folded(a, width) - folded(b, width)).sum(axis=1)
+            out[at] = np.where(full, 0, apart)
+    return out
 
 
 def _node_rows(batch, sets, seen):
@@ -239,27 +271,28 @@ def bucket_stars(signed: DataFrame) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and sketches allow a link."""
+    """Those of the pairs (a, b) whose sizes and sketches allow a link: sketches move for similar sizes only."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
-            x, y = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH)
-                for k in (3, 5)
-            )
-            apart = np.abs(x.astype(np.int16) - y).sum(axis=1, dtype=np.int64)
-            keep = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
-            keep &= (100 + percent) * apart <= (100 - percent) * (na + nb)
+            total = batch.column(2).to_numpy()
+            apart = sketch_distance(batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            keep = (100 + percent) * apart <= (100 - percent) * total
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    known = nodes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
-    a = known.toDF("a", "na", "x")
-    b = known.toDF("b", "nb", "y")
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "na", "x", "nb", "y")
-    return both.mapInArrow(run, "a long, b long")
+    size = nodes.select("node", "n_shingles").distinct()
+    na, nb = F.col("na"), F.col("nb")
+    sized = (
+        pairs.join(size.toDF("b", "nb"), "b")
+        .join(size.toDF("a", "na"), "a")
+        .filter(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        .select("a", "b", (na + nb).alias("total"))
+    )
+    known = nodes.select("node", "sketch").dropDuplicates(["node"])
+    both = sized.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b")
+    return both.select("a", "b", "total", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -322,14 +355,18 @@ def jaccard_links(
         possible = shared_stage(possible, f"{name}_pairs")
         wanted = possible.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         sets = shared_stage(_fetch_sets(docs, firsts, wanted, shingle), f"{name}_sets")
-        return shared_stage(_verified(possible, sets, percent), f"{name}_links")
+        found = shared_stage(_verified(possible, sets, percent), f"{name}_links")
+        forget(possible, sets)
+        return found
 
     tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
     links = linked(_possible(tested, known, percent), "star")
     nearest = _across(stars, components(links), known, percent, nearest=True)
     links = links.union(linked(nearest, "nearest"))
     across = _across(stars, components(links), known, percent)
-    return nodes, links.union(linked(across, "across"))
+    links = links.union(linked(across, "across"))
+    forget(stars)
+    return nodes, links
 
 
 def _across(
@@ -385,7 +422,7 @@ def _across(
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-PAIRS_AT_ONCE = 50_000
+PAIRS_AT_ONCE = 25_000
 
 
 def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, nearest: bool):
@@ -397,7 +434,11 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
     rows = pa.Table.from_batches(held)
     member, own, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
     block = rows.column(5).to_numpy()
-    cells = np.frombuffer(b"".join(rows.column(4).to_pylist()), np.uint8).reshape(-1, SKETCH)
+    sketches = rows.column(4).to_pylist()
+    # All sketches at the least length: pairs that these leave are compared at the longer one.
+    cells = np.concatenate([folded(np.frombuffer(s, np.uint8).reshape(1, -1), SKETCH) for s in sketches])
+    full = np.array([255 in s for s in sketches])
+    long = np.array([len(s) > SKETCH for s in sketches])
     step = max(1, PAIRS_AT_ONCE // len(member))
     least = np.full(len(member), np.iinfo(np.int64).max)
     partner = np.full(len(member), -1)
@@ -409,7 +450,11 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
             near &= block != block[i]
         x, y = np.nonzero(near)
         x += start
-        apart = np.abs(cells[x].astype(np.int16) - cells[y]).sum(axis=1, dtype=np.int64)
+        apart = np.where(full[x] | full[y], 0, np.abs(cells[x] - cells[y]).sum(axis=1, dtype=np.int64))
+        keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+        x, y, apart = x[keep], y[keep], apart[keep]
+        finer = np.flatnonzero(long[x] & long[y])
+        apart[finer] = sketch_distance([sketches[i] for i in x[finer]], [sketches[i] for i in y[finer]])
         keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
         x, y, apart = x[keep], y[keep], apart[keep]
         if not nearest:

@@ -1,5 +1,9 @@
 """The near-duplicate stage: its own shingle length and threshold."""
 
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -64,3 +68,81 @@ def test_near_copies_without_an_id_are_linked(spark):
     near = " ".join(f"new{i}" if i == 20 else w for i, w in enumerate(one))
     docs = spark.createDataFrame([(None, " ".join(one)), (None, near), (None, "z")], "doc_id bigint, text string")
     assert len({r.label for r in partenum_join.node_groups(docs).collect()}) == 2
+
+
+def brute_labels(rows, shingle, percent):
+    """The least row of each component, by all pairs that share a shingle."""
+    sets = []
+    for _, text in rows:
+        said = (text or "").encode().lower().split()
+        n = max(len(said) - shingle + 1, min(len(said), 1))
+        sets.append(frozenset(tuple(said[i : i + shingle]) for i in range(n)))
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    shared = Counter((a, b) for h in holders.values() for a, b in combinations(h, 2))
+    label = list(range(len(rows)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for (a, b), both in shared.items():
+        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            label[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(rows))]
+
+
+def test_whole_table_with_chains_at_the_stage_values(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    rows = sorted((tuple(r) for r in docs.collect()), key=lambda r: r[0])
+    for start in (0, 7):
+        base = rows[start][1].split()[: 150 + 400 * (start > 0)]
+        for k in range(14):  # each differs a little from the one before
+            at = 11 * k % len(base)
+            base = [*base[:at], f"chain{k}", f"link{k}", *base[at + 2 :]]
+            rows.append((10_000 + 100 * start + k, " ".join(base)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in partenum_join.similar_groups(frame, shingle=5, percent=80).collect()}
+    labels = brute_labels(rows, 5, 80)
+    assert got == {r[0]: rows[label][0] for r, label in zip(rows, labels, strict=True)}
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()}
+    assert kept == {r[0] for i, r in enumerate(rows) if labels[i] == i}
+
+
+def test_similar_sets_share_a_signature_at_any_percent():
+    rng = np.random.default_rng(3)
+    for percent in (50, 60, 65, 70, 80, 90, 95):
+        for size in (1, 2, 3, 10, 47, 150, 700):
+            larger = np.unique(rng.integers(0, 2**63, size * 100 // percent).astype(np.uint64))
+            mixed = [larger[: len(larger) * percent // 100 + 1], larger]
+            fresh = rng.integers(0, 2**63, len(larger)).astype(np.uint64)
+            swapped = len(larger) * (100 - percent) // (100 + percent)
+            pairs = [mixed, [np.unique(np.concatenate([larger[swapped:], fresh[:swapped]])), larger]]
+            for a, b in pairs:
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= percent * (len(a) + len(b) - both) and len(a) and (a.tobytes() != b.tobytes()):
+                    assert np.intersect1d(partenum_join.signatures(a, percent), partenum_join.signatures(b, percent)).size
+
+
+def test_sketches_never_exceed_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 30, 900, 1100, 5000, 5000, 40_000)]
+    sets += [np.sort(rng.permutation(sets[k])[: len(sets[k]) * 9 // 10]) for k in (3, 5, 7)]
+    sets.append(np.arange(1000, dtype=np.uint64))  # all in one cell
+    sketches = [partenum_join.sketch(s) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    apart = partenum_join.sketch_distance([sketches[i] for i, _ in pairs], [sketches[j] for _, j in pairs])
+    for (i, j), least in zip(pairs, apart.tolist(), strict=True):
+        assert least <= len(np.setxor1d(sets[i], sets[j]))
+    assert apart[pairs.index((5, 6))] > 0.2 / 1.8 * 10_000  # unrelated large sets are told apart
+
+
+def test_tables_that_nothing_reads_are_removed(spark):
+    from docrecords.llm.common import forget, shared_stage
+
+    table = shared_stage(spark.range(10), "numbers")
+    forget(table)
+    assert spark.read.schema("id long").parquet(table.stage_path).count() == 0
