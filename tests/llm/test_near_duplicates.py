@@ -146,3 +146,28 @@ def test_tables_that_nothing_reads_are_removed(spark):
     table = shared_stage(spark.range(10), "numbers")
     forget(table)
     assert spark.read.schema("id long").parquet(table.stage_path).count() == 0
+
+
+def test_stages_keep_the_callers_columns(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = ["score", "lang_pred", "n_words", "item_ids", "n_hit", "node", "component_id", "a.b", "Text2"]
+    wide = docs.select("*", *[F.concat(F.lit(f"{name}-"), F.col("doc_id").cast("string")).alias(name) for name in extra])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in extra), name
+        assert {r.doc_id for r in rows} == {r.doc_id for r in stage(spark, docs, sf).select("doc_id").collect()}
+
+
+def test_stages_take_odd_rows(spark, sf):
+    good = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, "s", 0), (None, "Some words here.", "en", "s", 5), (7, "Some words here.", "en", "s", 5), (7, "Some words here.", "en", "s", 5)],
+        good.schema,
+    )
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, good.unionByName(odd), sf).count() > 100
+        assert stage(spark, good.limit(0), sf).collect() == []
+    pieces = corpus_pipeline.packing(spark, odd, sf).collect()
+    assert sum(r.start == 0 for r in pieces) == 6
