@@ -8,7 +8,7 @@ Texts are lower-cased (A-Z) and cut into words of letters, digits and non-ASCII
   templates have words).  Of these, a file's highest-IDF ones are looked up; each place of such a
   word and each posting give a place where the template would start.  Places on which three different
   words or more agree are kept, and there the template's mandatory key phrase must stand, within the
-  template's length.
+  template's length.  Texts that have the key phrase nowhere are left out before their words are walked.
 
 Only column functions are used.  Words, phrases and templates are parameters of `license_scan`.
 
@@ -69,6 +69,40 @@ TEMPLATES = [
         "this source code form is subject to the terms of the mozilla public license v 2.0",
         "mozilla public license",
     ),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with "
+        "the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by "
+        "applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific "
+        "language governing permissions and limitations under the license",
+        "you may not use this file except in compliance with the license",
+    ),
+    (
+        "gpl-3.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 3 of the license or at your option "
+        "any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+        "free software foundation either version 3 of the license",
+    ),
+    (
+        "gpl-2.0",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 2 of the license or at your option "
+        "any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose",
+        "free software foundation either version 2 of the license",
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+        "documentation files the software to deal in the software without restriction including without limitation the "
+        "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+        "persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+        "notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "to deal in the software without restriction",
+    ),
     (
         "unlicense",
         "this is free and unencumbered software released into the public domain",
@@ -194,51 +228,55 @@ def _base_places(df: DataFrame, phrases: dict[str, str]) -> tuple[DataFrame, lis
 
 
 def _template_places(df, split_up, frequency, indexed) -> tuple[DataFrame, list]:
-    """For each template, the share of looked-up words that agree on a verified place, else 0."""
+    """For each template, the share of looked-up words that agree on a verified place, else 0.
+
+    A text without a template's key phrase cannot be verified, and nearly all texts have none: these are done.
+    The words of the others are met with the index once; each occurrence of an indexed word gives, for all
+    postings of all templates, the place where the template would start.
+    """
     found = []
     rarest = [
         sorted(set(words), key=lambda w: (frequency.get(w, 0), w))[:indexed] for _, words, _ in split_up
     ]
-    # The second side is hashed: it is the small one here, so a text's words are only walked.
-    df = df.withColumn(
-        "_held", F.array_intersect(F.col("_w"), _strings(sorted({w for r in rarest for w in r})))
-    )
-    for k, (label, words, key) in enumerate(split_up):
-        rare = rarest[k]
-        postings = {w: [i for i, x in enumerate(words) if x == w] for w in rare}
-        top, places = f"_top{k}", f"_at{k}"
-        # array_intersect keeps the order of its first side: rarest first.
-        df = df.withColumn(
-            top, F.slice(F.array_intersect(_strings(rare), F.col("_held")), 1, LOOKED_UP)
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for k, (_, words, _) in enumerate(split_up):
+        for at, word in enumerate(words):
+            if word in rarest[k]:
+                postings.setdefault(word, []).append((k, at))
+    posting = [F.array(*[F.struct(F.lit(k).alias("k"), F.lit(at).alias("at")) for k, at in p]) for p in postings.values()]
+    index = F.create_map(*[x for w, p in zip(postings, posting, strict=True) for x in (F.lit(w), p)])
+    phrases = [" " + " ".join(key) + " " for _, _, key in split_up]
+    df = df.withColumn("_said", F.array(*[F.contains(F.col("_pad"), F.lit(p)) for p in phrases]))
+
+    def starts(pair):
+        return F.transform(
+            F.element_at(index, pair["w"]),
+            lambda p: F.struct(p["k"].alias("k"), (pair["i"] - p["at"]).alias("d"), pair["w"].alias("w")),
         )
-        index = F.create_map(
-            *[x for w, at in postings.items() for x in (F.lit(w), F.array(*map(F.lit, at)))]
-        )
-
-        def starts(pair):
-            return F.transform(
-                F.element_at(index, pair["w"]),
-                lambda at: F.struct((pair["i"] - at).alias("d"), pair["w"].alias("w")),
-            )
 
-        pairs = F.filter(
-            F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
-            lambda p: F.array_contains(F.col(top), p["w"]),
-        )
+    met = F.filter(
+        F.transform("_w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))),
+        lambda p: F.array_contains(_strings(sorted(postings)), p["w"]),
+    )
+    df = df.withColumn("_spots", F.when(F.array_contains("_said", True), F.flatten(F.transform(met, starts))))
+    for k, (label, words, _) in enumerate(split_up):
+        mine, top, places = f"_mine{k}", f"_top{k}", f"_at{k}"
+        df = df.withColumn(mine, F.when(F.get("_said", F.lit(k)), F.filter("_spots", lambda s: s["k"] == k)))
+        # array_intersect keeps the order of its first side: rarest first.
+        held = F.array_intersect(_strings(rarest[k]), F.transform(mine, lambda s: s["w"]))
+        df = df.withColumn(top, F.slice(held, 1, LOOKED_UP))
+        chosen = F.filter(mine, lambda s: F.array_contains(F.col(top), s["w"]))
+        agreeing = F.transform(chosen, lambda s: F.struct(s["d"].alias("d"), s["w"].alias("w")))
         df = df.withColumn(
-            places,
-            F.when(
-                F.size(top) >= AGREEING, F.sort_array(F.array_distinct(F.flatten(F.transform(pairs, starts))))
-            ),
+            places, F.when(F.size(top) >= AGREEING, F.sort_array(F.array_distinct(agreeing)))
         )
-        phrase = " " + " ".join(key) + " "
 
         def verified(x, i):
             ahead = F.get(places, i + (AGREEING - 1))["d"]
             start = F.greatest(x["d"], F.lit(0))
             stretch = F.slice("_w", start + 1, F.lit(len(words)) + F.least(x["d"], F.lit(0)))
             said = F.concat(F.lit(" "), F.array_join(stretch, " "), F.lit(" "))
-            return (ahead == x["d"]) & (x["d"] + len(words) > 0) & F.contains(said, F.lit(phrase))
+            return (ahead == x["d"]) & (x["d"] + len(words) > 0) & F.contains(said, F.lit(phrases[k]))
 
         kept = f"_ok{k}"
         df = df.withColumn(kept, F.filter(places, verified))

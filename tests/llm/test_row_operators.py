@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -65,6 +65,48 @@ def test_licences_odd_rows(spark):
     assert license_index.license_scan(odd_documents(spark).limit(0)).count() == 0
 
 
+def plain_template_labels(rows):
+    """Labels and scores by a plain positional search over all templates."""
+    texts = {i: ALNUM.findall((t or "").translate(UPPER)) for i, t in rows}
+    held = Counter(w for words in texts.values() for w in set(words))
+    out = {}
+    for name, words in texts.items():
+        labels, best = set(), 0.0
+        for label, text, key in license_index.TEMPLATES:
+            template, phrase = license_index.template_words(text), license_index.template_words(key)
+            rare = sorted(set(template), key=lambda w: (held[w], w))[: license_index.INDEXED]
+            top = [w for w in rare if w in words][: license_index.LOOKED_UP]
+            agree = defaultdict(set)
+            for i, w in enumerate(words):
+                for at, x in enumerate(template):
+                    if x == w and w in top:
+                        agree[i - at].add(w)
+            for d, agreed in agree.items():
+                stretch = words[max(d, 0) : max(d + len(template), 0)]
+                said = any(stretch[j : j + len(phrase)] == phrase for j in range(len(stretch)))
+                if len(agreed) >= license_index.AGREEING and said:
+                    labels.add(label)
+                    best = max(best, len(agreed) / len(top))
+        out[name] = (labels, best)
+    return out
+
+
+def test_licence_labels_are_those_of_a_plain_search(spark, sf):
+    rows = [tuple(r) for r in documents(spark, sf).collect()]
+    for k, (_, text, _) in enumerate(license_index.TEMPLATES):
+        words = text.split(" ")
+        variants = [text, "Foreword, and then: " + text.upper() + " end", " ".join(words[len(words) // 3 :]), " ".join(words[: len(words) // 2]),
+                    " ".join(reversed(words)), text.replace(words[1], "changed"), f"{text} {text}", " ".join([*words[:5], "more", *words[5:]])]
+        rows += [(10_000 + 10 * k + n, v) for n, v in enumerate(variants)]
+    got = license_index.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = plain_template_labels(rows)
+    for r in got:
+        labels, best = want[r.doc_id]
+        base = set(filter(None, r.base_labels.split(",")))
+        assert set(filter(None, r.labels.split(","))) == labels | base, r.doc_id
+        assert r.score == pytest.approx((0.5 + 0.5 * best) if labels | base else 0.0), r.doc_id
+
+
 def test_licence_templates(spark):
     texts = [
         (1, "Some code. Permission is hereby granted, free of charge, to any person obtaining a copy"),
