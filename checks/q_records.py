@@ -194,9 +194,8 @@ def _(spark, sf):
       FROM v_sel WHERE {TRUST} ORDER BY position"""),
 )
 def _(spark, sf):
-    rows = matches(spark, sf)
-    top = rows.orderBy(*records.sort_columns("total", "desc"))
-    return top.select("doc_id", dec("total"), F.expr("row_number() OVER (ORDER BY total DESC NULLS LAST, doc_id)").cast("bigint").alias("position"))
+    rows = records.ranked(matches(spark, sf), records.sort_columns("total", "desc"))
+    return rows.select("doc_id", dec("total"), "position")
 
 
 @check(

@@ -364,19 +364,13 @@ KINDS = ("view", "purchase", "signup", "error", "click")
 )
 def _(spark, sf):
     path = folder(spark, "state")
-    schema = V.table(spark, sf, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    log = V.table(spark, sf, "events")
+    # The log in four files, two to a batch.
+    log.repartitionByRange(4, "event_id").write.parquet(f"{path}/log")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/log")
     log = source.select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_type").alias("kind"), F.col("ts").alias("created_at"))
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/out")
-
-    query = (
-        events.document_state(log, KINDS).writeStream.outputMode("complete").foreachBatch(keep)
-        .option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{path}/out").drop("last_at")
+    events.keep_state(events.document_state(log, KINDS), f"{path}/state", f"{path}/check").awaitTermination()
+    return events.current_state(spark, f"{path}/state").drop("last_at")
 
 
 @check(

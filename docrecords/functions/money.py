@@ -33,9 +33,17 @@ def to_factor(col: Column) -> Column:
 def multiply_money(a: Column, b: Column) -> Column:
     """Product of two `to_factor` values, cut (not rounded) to four decimals.
 
-    Whole and fractional parts are multiplied apart, in ten-thousandths, so that no digit is lost;
-    null when the product has more than 34 integer digits.
+    Factors of up to 14 integer digits are multiplied as they are.  Of larger ones whole and fractional parts
+    are multiplied apart, in ten-thousandths, so that no digit is lost; null when the product has more than
+    34 integer digits.
     """
+    most = F.lit(10**14).cast("decimal(15,0)")
+    product = a.try_cast("decimal(18,4)") * b.try_cast("decimal(18,4)")
+    short = (product - product % F.lit("0.0001").cast("decimal(4,4)")).cast(MONEY)
+    return F.when((F.abs(a) < most) & (F.abs(b) < most), short).otherwise(_long_product(a, b))
+
+
+def _long_product(a: Column, b: Column) -> Column:
     scale = F.lit(10000).cast("decimal(5,0)")
     one = F.lit(1).cast("decimal(1,0)")
 

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
+from ..functions.arrays import scan
 from ..functions.paths import RECORD_PATH
 from ..functions.text import contains_ci, equals_ci, like_ci
+from ..plans.stages import stage
 from ..session import small_side
 from ..sources.files import detect_format
 
@@ -314,6 +316,27 @@ def page(rows: DataFrame, order: list[Column], number: int = 1, size: int = 20)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Rows with their place in the whole order, from 1.
+
+    Rows are dealt by ranges of the order and counted where they lie; each range starts behind the rows of
+    the ranges before it.  No task holds more than its range, and only a count for each comes together.
+    """
+    index = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(dealt.withColumns({"_range": F.spark_partition_id(), "_index": index}), "ranges")
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    # One entry for each range.
+    listed = F.sort_array(F.collect_list(F.struct("_range", "n")))
+    starts = scan(
+        F.col("all"), F.lit(0).cast("bigint"), lambda before, x: before + x["n"],
+        lambda before, x: F.struct(x["_range"].alias("_range"), before.alias("before")), "struct<_range:int,before:bigint>",
+    )
+    before = counts.agg(listed.alias("all")).select(F.explode_outer(starts).alias("s")).select("s.*")
+    met = placed.join(F.broadcast(before), "_range")
+    return met.withColumn(name, F.col("before") + F.col("_index") + 1).drop("_range", "_index", "before")
+
+
 def page_counts(rows: DataFrame, size: int = 20) -> DataFrame:
     total = F.count(F.lit(1))
     return rows.agg(

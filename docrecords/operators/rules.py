@@ -127,25 +127,23 @@ def line_math(fields: DataFrame) -> DataFrame:
     line = F.when(in_scope, F.regexp_extract("path", LINE_ITEM_PATH, 1))
     per_line = Window.partitionBy("extraction_id", "_line")
 
+    is_total = F.col("_line").isNotNull() & (F.col("_column") == "lineTotal")
+
     def cell(name: str) -> Column:
         own = F.when(F.col("_line").isNotNull() & (F.col("_column") == name), F.col("_value"))
-        return _decimal_text(F.max(own).over(per_line))
+        return F.max(own).over(per_line)
 
     rows = fields.withColumns({"_line": line, "_column": column}).withColumns(
         {"_qty": cell("quantity"), "_unit": cell("unitPrice"), "_total": cell("lineTotal")}
     )
-    quantity, unit = to_factor(F.col("_qty")), to_factor(F.col("_unit"))
-    rows = rows.withColumns(
-        {"_product": multiply_money(quantity, unit), "_factors": quantity.isNotNull() & unit.isNotNull()}
-    )
+    # Only a line's total is checked: other rows are spared the arithmetic.
+    rows = rows.withColumns({c: F.when(is_total, _decimal_text(F.col(c))) for c in ("_qty", "_unit", "_total")})
+    rows = rows.withColumns({"_a": to_factor(F.col("_qty")), "_b": to_factor(F.col("_unit")), "_t": to_money(F.col("_total"))})
     product = F.col("_product")
-    off = (
-        F.col("_line").isNotNull()
-        & (F.col("_column") == "lineTotal")
-        # A product that no recorded total can hold is off as well.
-        & F.coalesce(~equals_cents(product, to_money(F.col("_total"))), F.col("_factors"))
-        & to_money(F.col("_total")).isNotNull()
-    )
+    factors = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    rows = rows.withColumn("_product", F.when(factors & F.col("_t").isNotNull(), multiply_money(F.col("_a"), F.col("_b"))))
+    # A product that no recorded total can hold is off as well.
+    off = F.col("_t").isNotNull() & F.coalesce(~equals_cents(product, F.col("_t")), factors)
     rows = rows.withColumn("_line_off", F.coalesce(off, F.lit(False)))
     message = F.when(
         F.col("_line_off"),
@@ -160,7 +158,7 @@ def line_math(fields: DataFrame) -> DataFrame:
             F.lit(" was recorded."),
         ),
     )
-    return _warn(rows, message, _NOT_INVALID).drop("_line", "_column", "_qty", "_unit", "_total", "_product", "_factors")
+    return _warn(rows, message, _NOT_INVALID).drop("_line", "_column", "_qty", "_unit", "_total", "_a", "_b", "_t", "_product")
 
 
 def subtotal_after_lines(fields: DataFrame) -> DataFrame:
@@ -180,12 +178,14 @@ def total_reconciliation(fields: DataFrame) -> DataFrame:
 
     def amount(path: str) -> Column:
         own = (F.col("schema_key") == INVOICE_SCHEMA) & (F.col("path") == path)
-        return _decimal_text(_within_extraction(F.max(F.when(own, F.col("_value")))))
+        return _within_extraction(F.max(F.when(own, F.col("_value"))))
 
+    is_total = F.col("path") == "total"
     rows = fields.withColumns({"_s": amount("subtotal"), "_t": amount("tax"), "_g": amount("total")})
+    rows = rows.withColumns({c: F.when(is_total, _decimal_text(F.col(c))) for c in ("_s", "_t", "_g")})
     expected = to_money(F.col("_s")) + to_money(F.col("_t"))
     message = F.when(
-        (F.col("path") == "total") & ~equals_cents(expected, to_money(F.col("_g"))),
+        is_total & ~equals_cents(expected, to_money(F.col("_g"))),
         F.concat(
             F.lit("Subtotal + tax ("),
             format_cents(expected),

@@ -20,7 +20,7 @@ from ..functions.typing import (
     normalize_value,
     schema_hash,
 )
-from ..session import small_side
+from ..session import attach
 from . import canonical
 
 DETAILS = "details"
@@ -616,6 +616,19 @@ def _slug_alternatives(leaves: DataFrame, *columns: str) -> DataFrame:
     return leaves.select("*", F.posexplode(slugs).alias("slug_rank", "slug"))
 
 
+def with_leaves(assigned: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The leaves of the version chosen for every document, one row for each.
+
+    A version's leaves are one array row, so a document meets one row and is unfolded where it lies.  A
+    version that many documents share is broadcast even where all versions are too many for that, so that
+    no task gets all documents of one schema.
+    """
+    names = [c for c in leaves.columns if c != "schema_version_id"]
+    packed = leaves.groupBy("schema_version_id").agg(F.collect_list(F.struct(*names)).alias("_leaves"))
+    met = attach(assigned, packed, "schema_version_id")
+    return met.select(*assigned.columns, F.explode_outer("_leaves").alias("_leaf")).select(*assigned.columns, "_leaf.*")
+
+
 def extract_with_schema(lines: DataFrame, assigned: DataFrame, leaves: DataFrame) -> DataFrame:
     """Scalar leaves of the schema chosen for every document: the first key/value whose slug is
     that of the leaf's key or label, else a `not_found` row.
@@ -629,7 +642,7 @@ def extract_with_schema(lines: DataFrame, assigned: DataFrame, leaves: DataFrame
             F.struct("line_no", "pair_no", "value", "start", "end"), F.struct("line_no", "pair_no")
         ).alias("hit")
     )
-    wanted = assigned.join(small_side(leaves), "schema_version_id")
+    wanted = with_leaves(assigned, leaves)
     found = (
         _slug_alternatives(wanted, "key", "label")
         .join(first, ["doc_id", "slug"], "left")
@@ -674,7 +687,7 @@ def match_tables(lines: DataFrame, assigned: DataFrame, leaves: DataFrame) -> Da
     )
     heads = heads.select("doc_id", "table_no", slug_camel(F.col("header")).alias("slug"))
     known = _slug_alternatives(
-        assigned.join(small_side(leaves), "schema_version_id"), "key", "label"
+        with_leaves(assigned, leaves), "key", "label"
     ).select("doc_id", "array_key", "slug").distinct()
     scores = (
         heads.join(known, ["doc_id", "slug"])
@@ -693,7 +706,7 @@ def extract_arrays(lines: DataFrame, assigned: DataFrame, leaves: DataFrame) ->
     cells = canonical.table_cells(lines).join(best, ["doc_id", "table_no"])
     rows = cells.select("doc_id", "array_key", "row_no").distinct()
     wanted = rows.join(
-        assigned.join(small_side(leaves), "schema_version_id"), ["doc_id", "array_key"]
+        with_leaves(assigned, leaves), ["doc_id", "array_key"]
     )
     by_slug = (
         cells.withColumn("slug", slug_camel(F.col("header")))
@@ -722,9 +735,7 @@ def extract_arrays(lines: DataFrame, assigned: DataFrame, leaves: DataFrame) ->
 
 def fill_missing(fields: DataFrame, assigned: DataFrame, leaves: DataFrame) -> DataFrame:
     """Add a `not_found` row for every declared top-level leaf a document has no field for."""
-    declared = assigned.join(
-        small_side(leaves.filter(~F.col("leaf_key").contains("[]."))), "schema_version_id"
-    )
+    declared = with_leaves(assigned, leaves.filter(~F.col("leaf_key").contains("[].")))
     have = fields.select("doc_id", F.col("schema_field_key").alias("leaf_key")).distinct()
     absent = declared.join(have, ["doc_id", "leaf_key"], "left_anti").select(
         "doc_id",
