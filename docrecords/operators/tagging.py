@@ -1,11 +1,14 @@
 """Bulk tagging of request texts: amounts, currency, status, dates, vendors, left-over terms."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed as V
 from ..functions.money import normalize_decimal
 from ..functions.text import trim_ws
+from ..plans.stages import stage
+from ..session import attach
 
 _L, _R = V.B_LEFT, V.B_RIGHT
 _A = V.WS + "+" + V.AMOUNT
@@ -80,12 +83,32 @@ def _vendor_words(vendor: Column) -> Column:
     return F.filter(F.split(F.lower(vendor), V.WS + "+"), lambda w: F.length(w) > 2)
 
 
+# Cells of the map of filed grams; the map has a byte for each and goes with the plan.
+FILTER_CELLS = 1 << 20
+
+
+def _cell(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(FILTER_CELLS))
+
+
+def _filed_cells(index: DataFrame) -> bytearray:
+    """The map: 1 where a filed gram's hash falls.  At most `FILTER_CELLS` numbers come to the driver."""
+    cells = index.select(_cell(F.col("gram")).alias("cell")).distinct().toArrow().column("cell").to_numpy()
+    found = np.zeros(FILTER_CELLS, np.uint8)
+    found[cells] = 1
+    return bytearray(found.tobytes())
+
+
 def match_vendors(texts: DataFrame, vendors: DataFrame) -> DataFrame:
     """Longest known vendor all of whose words (over two characters) occur in the text.
 
     Words may occur inside longer words, so this is no token join.  Instead of trying every text
     with every vendor, each vendor is filed under its rarest character gram (a text with the word
     has the gram), texts are joined on their grams, and the few candidates are verified exactly.
+
+    A text's grams are met with a map of the filed ones before they become rows: `FILTER_CELLS` cells, of
+    which one is set for each filed gram's hash.  What it lets through by chance finds no vendor.  A gram that
+    very many texts have is broadcast with its vendors.
     """
     named = vendors.filter(F.col("vendor_name") != "").select("vendor_name").distinct()
     words = named.select("vendor_name", _vendor_words(F.col("vendor_name")).alias("words")).filter(
@@ -106,14 +129,19 @@ def match_vendors(texts: DataFrame, vendors: DataFrame) -> DataFrame:
     index = filed.join(spread, "gram").groupBy("vendor_name").agg(
         F.min_by(F.struct("gram", "words"), F.struct("n", "gram")).alias("k")
     ).select("vendor_name", "k.gram", "k.words")
+    index = stage(index, "filed")
 
     lower = texts.select("id", F.lower("text").alias("_lower"))
-    text_grams = F.array_distinct(
-        F.flatten(F.array_compact(F.array(*[_grams(F.col("_lower"), s) for s in GRAM_SIZES])))
-    )
+    text_grams = F.flatten(F.array_compact(F.array(*[_grams(F.col("_lower"), s) for s in GRAM_SIZES])))
     # The grams travel without the text; the text joins back only for the candidates.
+    known = F.lit(_filed_cells(index))
+    filed_only = F.filter(
+        text_grams, lambda g: F.substring(known, (_cell(g) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+    )
+    rows = lower.select("id", F.explode_outer(F.array_distinct(filed_only)).alias("gram")).filter(F.col("gram").isNotNull())
+    by_gram = index.groupBy("gram").agg(F.collect_list(F.struct("vendor_name", "words")).alias("_vendors"))
     candidates = (
-        lower.select("id", F.explode_outer(text_grams).alias("gram")).join(index, "gram").drop("gram")
+        attach(rows, by_gram, "gram").select("id", F.explode_outer("_vendors").alias("v")).select("id", "v.*")
     )
     hits = candidates.join(lower, "id").filter(
         F.forall("words", lambda w: F.contains(F.col("_lower"), w))
