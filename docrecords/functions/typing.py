@@ -7,6 +7,10 @@ from . import fixed as V
 from .text import trim_ws
 
 
+# The tags `infer_type` gives.
+INFERRED = ("string", "currency", "date", "boolean", "integer", "decimal", "text")
+
+
 def infer_type(value: Column) -> Column:
     """Type tag of a sample value; the order of the tests decides."""
     v = trim_ws(value)

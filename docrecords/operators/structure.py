@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed as V
 from ..functions.text import humanize_label, is_blank, slug_camel, trim_ws
 from ..functions.typing import (
+    INFERRED,
     confidence_band,
     field_importance,
     infer_type,
@@ -281,31 +282,27 @@ def fields_from_kv(keyed: DataFrame) -> DataFrame:
 
 def infer_column_types(cells: DataFrame) -> DataFrame:
     """Majority type per table column; the first-seen type wins ties, and a numeric, date or
-    currency majority must reach 60 % of the filled cells."""
-    filled = ~is_blank(F.col("value"))
-    per_type = (
-        cells.withColumn("_type", F.when(filled, infer_type(F.col("value"))))
-        .groupBy("doc_id", "table_no", "column_no", "header", "_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("row_no").alias("first"))
-    )
-    known = F.col("_type").isNotNull()
-    best = F.max_by("_type", F.when(known, F.struct("n", -F.col("first"))))
-    columns = per_type.groupBy("doc_id", "table_no", "column_no", "header").agg(
-        best.alias("best"),
-        F.max(F.when(known, F.col("n"))).alias("top"),
-        F.sum(F.when(known, F.col("n"))).alias("filled"),
-        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("blank"),
-    )
-    weak = F.col("best").isin(*V.MATERIAL_TYPES) & (
-        F.col("top") / F.col("filled") < TRUSTED_SHARE
-    )
+    currency majority must reach 60 % of the filled cells.
+
+    Each type has its count and first row in one aggregate that combines before the shuffle, so that only a
+    row for each column and task moves.
+    """
+    typed = cells.withColumn("_type", F.when(~is_blank(F.col("value")), infer_type(F.col("value"))))
+    counts = [F.count_if(F.col("_type") == t).alias(f"_n_{t}") for t in INFERRED]
+    firsts = [F.min(F.when(F.col("_type") == t, F.col("row_no"))).alias(f"_first_{t}") for t in INFERRED]
+    columns = typed.groupBy("doc_id", "table_no", "column_no", "header").agg(
+        *counts, *firsts, F.count("_type").alias("filled"), F.count(F.lit(1)).alias("cells")
+    )
+    entries = [F.struct(F.col(f"_n_{t}").alias("n"), (-F.col(f"_first_{t}")).alias("first"), F.lit(t).alias("type")) for t in INFERRED]
+    best = F.array_max(F.array(*entries))
+    weak = best["type"].isin(*V.MATERIAL_TYPES) & (best["n"] / F.col("filled") < TRUSTED_SHARE)
     return columns.select(
         "doc_id",
         "table_no",
         "column_no",
         "header",
-        F.when(weak, "string").otherwise(F.coalesce("best", F.lit("string"))).alias("type"),
-        (F.col("blank") == 0).alias("complete"),
+        F.when((F.col("filled") == 0) | weak, "string").otherwise(best["type"]).alias("type"),
+        (F.col("filled") == F.col("cells")).alias("complete"),
     )
 
 
