@@ -26,6 +26,7 @@ the leading bits of their hashes: `SKETCH` cells, and for larger sets so many th
 elements or fewer on average; the longer of two sketches is folded to the length of the shorter one.  The
 differences of two sketches are never more than those of the sets, so pairs whose sketches differ too much
 are dropped exactly as well; only for the others are the whole sets made again from the texts and moved.
+Inside a bucket coarse sketches are compared, folded `COARSE` times, as these travel with every membership.
 Tables that no later step reads are removed on the way.
 
 Results for odd inputs: null texts and texts without words have no shingles and stay alone; fewer words
@@ -52,6 +53,7 @@ BAND_RATIO = 1.5
 CACHED_WORDS = 200_000
 SKETCH = 256
 CELL_ITEMS = 4
+COARSE = 4
 BLOCK = 4096
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -180,15 +182,26 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def folded(cells: np.ndarray, width: int) -> np.ndarray:
-    """Sketches in rows, with neighbouring cells added up until `width` are left."""
-    return cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32)
+    """Sketches in rows, with neighbouring cells added up until `width` are left.
 
+    A cell counts to 255, here as in the sketch, so the result is the sketch of that width.
+    """
+    if cells.shape[1] == width:
+        return cells
+    return np.minimum(cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32), 255).astype(np.uint8)
 
-def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """For pairs of sketches, a number that the sets' differences are never below.
 
-    A cell that is full (255) may stand for more, so such a sketch tells nothing.
-    """
+def coarse(sketch: bytes) -> bytes:
+    return folded(np.frombuffer(sketch, np.uint8).reshape(1, -1), len(sketch) // COARSE).tobytes()
+
+
+def cells_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed differences of sketches of one width, row by row."""
+    return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
+
+
+def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """For pairs of sketches, a number that the sets' differences are never below."""
     lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
     out = np.zeros(len(x), np.int64)
     for one, other in np.unique(lengths, axis=0).tolist():
@@ -198,23 +211,23 @@ def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
             at = every[k : k + step]
             a = np.frombuffer(b"".join([x[i] for i in at]), np.uint8).reshape(len(at), one)
             b = np.frombuffer(b"".join([y[i] for i in at]), np.uint8).reshape(len(at), other)
-            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
             width = min(one, other)
-            apart = np.abs(folded(a, width) - folded(b, width)).sum(axis=1)
-            out[at] = np.where(full, 0, apart)
+            out[at] = cells_apart(folded(a, width), folded(b, width))
     return out
 
 
 def _node_rows(batch, sets, seen):
     nodes = [set_key(s) if len(s) else None for s in sets]
+    sketches = list(map(sketch, sets))
     return pa.RecordBatch.from_arrays(
         [
             batch.column(0),
             pa.array(map(len, sets), pa.int64()),
             pa.array(nodes, pa.int64()),
-            pa.array(map(sketch, sets), pa.binary()),
+            pa.array(sketches, pa.binary()),
+            pa.array(map(coarse, sketches), pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "node", "sketch"],
+        names=["doc_id", "n_shingles", "node", "sketch", "coarse"],
     )
 
 
@@ -344,7 +357,7 @@ def jaccard_links(
     """
     key = docs.select("doc_id").schema.simpleString()[7:-1]
     nodes = shared_stage(
-        _sets(docs, _node_rows, f"{key}, n_shingles long, node long, sketch binary", shingle, "doc_id"), "nodes"
+        _sets(docs, _node_rows, f"{key}, n_shingles long, node long, sketch binary, coarse binary", shingle, "doc_id"), "nodes"
     )
     known = nodes.filter(F.col("node").isNotNull())
     firsts = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
@@ -361,10 +374,10 @@ def jaccard_links(
 
     tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
     links = linked(_possible(tested, known, percent), "star")
-    nearest = _across(stars, components(links), known, percent, nearest=True)
-    links = links.union(linked(nearest, "nearest"))
-    across = _across(stars, components(links), known, percent)
-    links = links.union(linked(across, "across"))
+    for step in ("nearest", "across"):
+        pairs = shared_stage(_across(stars, components(links), known, percent, nearest=step == "nearest"), step)
+        links = links.union(linked(_possible(pairs, known, percent), step))
+        forget(pairs)
     forget(stars)
     return nodes, links
 
@@ -388,12 +401,12 @@ def _across(
     rows = labelled.join(mixed_up.select("sig", blocks.alias("blocks")), "sig").select(
         "sig", "member", "own", "blocks", block.alias("block")
     )
-    known = nodes.select(F.col("node").alias("member"), "n_shingles", "sketch").dropDuplicates(["member"])
+    known = nodes.select(F.col("node").alias("member"), "n_shingles", "coarse").dropDuplicates(["member"])
     # One row for each block that the member's own block meets; nearly all buckets are one block.
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sketched = (
         rows.join(known, "member")
-        .select("sig", "member", "own", "n_shingles", "sketch", "block", meets)
+        .select("sig", "member", "own", "n_shingles", "coarse", "block", meets)
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .drop("other")
@@ -422,7 +435,7 @@ def _across(
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-PAIRS_AT_ONCE = 25_000
+PAIRS_AT_ONCE = 200_000
 
 
 def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, nearest: bool):
@@ -436,9 +449,9 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
     block = rows.column(5).to_numpy()
     sketches = rows.column(4).to_pylist()
     # All sketches at the least length: pairs that these leave are compared at the longer one.
-    cells = np.concatenate([folded(np.frombuffer(s, np.uint8).reshape(1, -1), SKETCH) for s in sketches])
-    full = np.array([255 in s for s in sketches])
-    long = np.array([len(s) > SKETCH for s in sketches])
+    least_cells = SKETCH // COARSE
+    cells = np.concatenate([folded(np.frombuffer(s, np.uint8).reshape(1, -1), least_cells) for s in sketches])
+    long = np.array([len(s) > least_cells for s in sketches])
     step = max(1, PAIRS_AT_ONCE // len(member))
     least = np.full(len(member), np.iinfo(np.int64).max)
     partner = np.full(len(member), -1)
@@ -450,7 +463,7 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
             near &= block != block[i]
         x, y = np.nonzero(near)
         x += start
-        apart = np.where(full[x] | full[y], 0, np.abs(cells[x] - cells[y]).sum(axis=1, dtype=np.int64))
+        apart = cells_apart(cells[x], cells[y])
         keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
         x, y, apart = x[keep], y[keep], apart[keep]
         finer = np.flatnonzero(long[x] & long[y])

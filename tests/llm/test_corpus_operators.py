@@ -52,11 +52,11 @@ def brute_groups(rows, percent=85):
 
 
 def test_large_buckets_meet_in_blocks(spark, monkeypatch):
-    cells = bytes([1]) * partenum_join.SKETCH
+    cells = bytes([1]) * (partenum_join.SKETCH // partenum_join.COARSE)
     stars = spark.createDataFrame([(7, 0, m) for m in range(1, 40)], "sig long, leader long, member long")
     labels = spark.createDataFrame([(m, m % 6) for m in range(40)], "node long, label long")
     nodes = spark.createDataFrame(
-        [(m, 256 + m, cells) for m in range(40)], "node long, n_shingles long, sketch binary"
+        [(m, 256 + m, cells) for m in range(40)], "node long, n_shingles long, coarse binary"
     )
     wanted = {(a, b) for a in range(1, 40) for b in range(a + 1, 40) if a % 6 != b % 6}
     for block in (3, 16, 4096):

@@ -138,6 +138,8 @@ def test_sketches_never_exceed_the_difference_of_sets():
     for (i, j), least in zip(pairs, apart.tolist(), strict=True):
         assert least <= len(np.setxor1d(sets[i], sets[j]))
     assert apart[pairs.index((5, 6))] > 0.2 / 1.8 * 10_000  # unrelated large sets are told apart
+    less = partenum_join.sketch_distance(*([partenum_join.coarse(sketches[p[k]]) for p in pairs] for k in (0, 1)))
+    assert (less <= apart).all() and less[pairs.index((5, 6))] > 0.2 / 1.8 * 10_000
 
 
 def test_tables_that_nothing_reads_are_removed(spark):
