@@ -32,28 +32,15 @@ def export_rows(results: DataFrame) -> DataFrame:
     return results.select(*[guard_cell(F.col(c)).alias(n) for n, c in EXPORT_COLUMNS.items()])
 
 
-def csv_line(rows: DataFrame) -> DataFrame:
-    """One CSV line per row: cells with quotes, commas or line breaks are quoted."""
-
-    def cell(name: str) -> Column:
-        c = F.col(f"`{name}`")
-        quoted = F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
-        return F.when(c.rlike('[",\\n]'), quoted).otherwise(c)
-
-    return rows.select(F.concat_ws(",", *[cell(n) for n in rows.columns]).alias("line"))
-
-
 def export_csv(results: DataFrame, path: str) -> None:
-    """Write all result rows as CSV files with a header, one per partition and without a cap."""
-    export_rows(results).write.option("header", "true").option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    """Write all result rows as CSV files with a header, one per partition and without a cap.
+
+    Cells with quotes, commas or line breaks are quoted, blanks at their ends stay, and an empty cell is empty.
+    """
+    options = {"header": "true", "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    export_rows(results).write.options(**options).csv(path)
 
 
 def export_json(results: DataFrame, path: str) -> None:
+    """Write all result rows as JSON lines; empty fields are null, not left out."""
     results.write.option("ignoreNullFields", "false").json(path)
-
-
-def json_line(results: DataFrame) -> DataFrame:
-    fields = F.struct(*results.columns)
-    return results.select(F.to_json(fields, {"ignoreNullFields": "false"}).alias("line"))
