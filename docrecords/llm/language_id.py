@@ -17,7 +17,6 @@ repeated rows get equal results; an empty table gives no rows.
 """
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
@@ -35,7 +34,6 @@ SMOOTH = 0.5
 UNKNOWN = "und"
 SURE_WORDS = 10
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SEPARATORS = bytes(
     b if b >= 0x80 or 0x61 <= b <= 0x7A or b == 0x27 else 0x20 for b in range(256)
 )
@@ -224,7 +222,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text: str = "text") -> Dat
 
 
 def _score(model: LanguageModel, unseen, text: str | None) -> tuple[str, float]:
-    if not text or not model.languages or not _LETTER.search(text):
+    if not text or not model.languages or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     counts = Counter(letter_words(text))
     if not counts:

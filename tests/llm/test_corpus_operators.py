@@ -263,3 +263,11 @@ def test_pipeline(spark, sf):
     groups = [r for r in queries.op5_partenum_join(spark, sf).collect() if r.doc_id in kept]
     assert kept and not kept & leaks
     assert len({r.component_id for r in groups}) == len(groups)
+
+
+def test_signs_that_are_no_letters_have_no_language(spark):
+    train = spark.createDataFrame([("some english words", "en"), ("einige deutsche worte", "de")], "text string, lang string")
+    model = language_id.fit(train)
+    texts = [("½ ² ① Ⅷ",), ("12 !",), ("_",), ("ⅷ a",), ("日本",)]
+    found = language_id.predict(spark.createDataFrame(texts, "text string"), model).collect()
+    assert [r.lang_pred == "und" for r in found] == [True, True, True, False, False]
