@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docrecords.operators import review, rules, schemas, structure
+from docrecords.operators import review, rules, schemas
 from docrecords.plans import structuring
 from docrecords.plans.stages import stage
 

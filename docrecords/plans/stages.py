@@ -5,7 +5,10 @@ pushdown for its readers, which a checkpoint of rows does not.
 """
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,9 +36,26 @@ def stage(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     df.write.partitionBy(*partition_by).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.stage_path = path
+    scopes = getattr(_LOCAL, "scopes", None)
+    if scopes:
+        scopes[-1].append(found)
     return found
 
 
+_LOCAL = threading.local()
+
+
+@contextmanager
+def temporary_stages() -> Iterator[None]:
+    """Stage tables written inside are discarded at the end: for runs whose results are stored elsewhere."""
+    scopes = _LOCAL.scopes = getattr(_LOCAL, "scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        discard(*scopes.pop())
+
+
 def discard(*tables: DataFrame) -> None:
     """Empty stage tables that no later step reads: their files go, an empty table of the same columns stays."""
     for table in tables:

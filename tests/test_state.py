@@ -43,3 +43,30 @@ def test_places_in_the_whole_order(spark):
     assert sorted(r.position for r in found.collect()) == list(range(1, 1001))
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
     assert records.ranked(rows.limit(0), order).collect() == []
+
+
+def test_stage_tables_of_a_run_are_removed(spark):
+    from docrecords.plans.stages import stage, temporary_stages
+
+    kept = stage(spark.range(3), "kept")
+    with pytest.raises(RuntimeError), temporary_stages():
+        outer = stage(spark.range(4), "outer")
+        with temporary_stages():
+            inner = stage(spark.range(5), "inner")
+        assert outer.count() == 4
+        raise RuntimeError
+    counts = [spark.read.schema("id long").parquet(t.stage_path).count() for t in (kept, outer, inner)]
+    assert counts == [3, 0, 0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from docrecords.plans import stages
+
+    monkeypatch.setattr(stages, "checkpoint_dir", lambda _: None)
+
+    class Session:
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        stages.stage_root(Session)
