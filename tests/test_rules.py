@@ -94,3 +94,24 @@ def test_derive_data_nests(spark):
     assert data == (
         '{"title":"say \\"hi\\"","vendor":{"address":{"city":"Rome"},"name":"Ann"},"lines":[{"qty":"1"},null,{"qty":"3","tax":null}]}'
     )
+
+
+def test_fields_no_rule_compares_stay_where_they_lie(spark):
+    rows = [
+        field(0, "vendorName", "x", "string"), field(1, "total", "30.00"), field(2, "startDate", "2024-01-02", "date", "plan", 2),
+        field(3, "other", "2024-01-02", "date", "plan", 2), field(4, "lineItems[0].quantity", "1"), field(5, "lineItems[0].quantity", "1", schema="plan", ext=3),
+        field(6, "subtotal", None, schema=None, ext=4), field(7, "tax", "1", schema=None, ext=4), field(8, "startDate", None, "date", "plan", 2),
+    ]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    valued = frame.withColumn("_value", rules.value_column())
+    assert {r["field_id"] for r in valued.filter(rules.meets_others()).collect()} == {1, 2, 4, 6}
+    assert rules.validate(frame).count() == len(rows)
+
+
+def test_a_lone_subtotal_of_another_schema_is_warned(spark):
+    """Lines of an invoice and the subtotal of another schema may share an extraction."""
+    rows = [
+        field(0, "lineItems[0].quantity", "2"), field(1, "lineItems[0].unitPrice", "3"), field(2, "lineItems[0].lineTotal", "7"),
+        field(3, "subtotal", "7", schema="plan"),
+    ]
+    assert states(rules.validate(spark.createDataFrame(rows, SCHEMA)))["subtotal"][0] == "warning"
