@@ -70,3 +70,16 @@ def test_leaves_meet_cells_in_the_row(spark):
     }
     # The leaves are unfolded last: nothing is shuffled for each cell of each leaf.
     assert "leaf_key" not in " ".join(x for x in _plan(out).split("== Physical")[1].splitlines() if "Exchange hashpartitioning" in x and "row_no" in x)
+
+
+def test_the_gate_counts_pairs_without_placing_them(spark):
+    from docrecords.operators import canonical, structure
+
+    rows = ["a: b", "Total: 5  Currency: USD", "Name:  Total: 7", " Owner: x", "Name: ", "plain", "Name: \u0001 Total: 1", ""]
+    lines = spark.createDataFrame([(r,) for r in rows], "text string")
+    text = lines["text"]
+    for row in lines.select(canonical.pair_count(text).alias("n"), canonical.line_pairs(text).alias("pairs")).collect():
+        assert row["n"] == len(row["pairs"])
+    texts = spark.createDataFrame([(1, "Name: x")], "doc_id bigint, text string")
+    plan = structure.narrative_gate(canonical.structure_lines(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all(ltrim" not in plan
