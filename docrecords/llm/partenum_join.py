@@ -26,7 +26,9 @@ the leading bits of their hashes: `SKETCH` cells, and for larger sets so many th
 elements or fewer on average; the longer of two sketches is folded to the length of the shorter one.  The
 differences of two sketches are never more than those of the sets, so pairs whose sketches differ too much
 are dropped exactly as well; only for the others are the whole sets made again from the texts and moved.
-Inside a bucket coarse sketches are compared, folded `COARSE` times, as these travel with every membership.
+With every membership of a bucket travels the whole sketch, packed to four bits a cell.  Inside a bucket these are
+compared folded `COARSE` times first, and pairs that pass at their full length: only pairs that the whole
+sketch allows become rows.
 Tables that no later step reads are removed on the way.
 
 Results for odd inputs: null texts and texts without words have no shingles and stay alone; fewer words
@@ -54,6 +56,7 @@ CACHED_WORDS = 200_000
 SKETCH = 256
 CELL_ITEMS = 4
 COARSE = 4
+PACKED = 15
 BLOCK = 4096
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -181,26 +184,37 @@ def sketch(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(cells, minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
-def folded(cells: np.ndarray, width: int) -> np.ndarray:
+def folded(cells: np.ndarray, width: int, most: int = 255) -> np.ndarray:
     """Sketches in rows, with neighbouring cells added up until `width` are left.
 
-    A cell counts to 255, here as in the sketch, so the result is the sketch of that width.
+    A cell counts to `most`, here as in the sketch, so the result is the sketch of that width.
     """
     if cells.shape[1] == width:
         return cells
-    return np.minimum(cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32), 255).astype(np.uint8)
+    return np.minimum(cells.reshape(len(cells), width, -1).sum(axis=2, dtype=np.int32), most).astype(np.uint8)
 
 
 def coarse(sketch: bytes) -> bytes:
     return folded(np.frombuffer(sketch, np.uint8).reshape(1, -1), len(sketch) // COARSE).tobytes()
 
 
+def packed(sketch: bytes) -> bytes:
+    """The sketch with two cells to a byte; a cell counts to `PACKED`."""
+    cells = np.minimum(np.frombuffer(sketch, np.uint8), PACKED)
+    return (cells[::2] << 4 | cells[1::2]).tobytes()
+
+
+def unpacked(cells: bytes) -> bytes:
+    pairs = np.frombuffer(cells, np.uint8)
+    return np.stack([pairs >> 4, pairs & PACKED], axis=1).tobytes()
+
+
 def cells_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Summed differences of sketches of one width, row by row."""
     return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
 
 
-def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
+def sketch_distance(x: list[bytes], y: list[bytes], most: int = 255) -> np.ndarray:
     """For pairs of sketches, a number that the sets' differences are never below."""
     lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
     out = np.zeros(len(x), np.int64)
@@ -212,7 +226,7 @@ def sketch_distance(x: list[bytes], y: list[bytes]) -> np.ndarray:
             a = np.frombuffer(b"".join([x[i] for i in at]), np.uint8).reshape(len(at), one)
             b = np.frombuffer(b"".join([y[i] for i in at]), np.uint8).reshape(len(at), other)
             width = min(one, other)
-            out[at] = cells_apart(folded(a, width), folded(b, width))
+            out[at] = cells_apart(folded(a, width, most), folded(b, width, most))
     return out
 
 
@@ -225,9 +239,9 @@ def _node_rows(batch, sets, seen):
             pa.array(map(len, sets), pa.int64()),
             pa.array(nodes, pa.int64()),
             pa.array(sketches, pa.binary()),
-            pa.array(map(coarse, sketches), pa.binary()),
+            pa.array(map(packed, sketches), pa.binary()),
         ],
-        names=["doc_id", "n_shingles", "node", "sketch", "coarse"],
+        names=["doc_id", "n_shingles", "node", "sketch", "coarse"],  # `coarse`: the packed sketch
     )
 
 
@@ -447,11 +461,16 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
     rows = pa.Table.from_batches(held)
     member, own, n = (rows.column(k).to_numpy() for k in (1, 2, 3))
     block = rows.column(5).to_numpy()
-    sketches = rows.column(4).to_pylist()
+    sketches = [unpacked(s) for s in rows.column(4).to_pylist()]
     # All sketches at the least length: pairs that these leave are compared at the longer one.
-    least_cells = SKETCH // COARSE
-    cells = np.concatenate([folded(np.frombuffer(s, np.uint8).reshape(1, -1), least_cells) for s in sketches])
-    long = np.array([len(s) > least_cells for s in sketches])
+    width = min(map(len, sketches))
+    long = np.array([len(s) > width for s in sketches])
+    level = [
+        folded(np.frombuffer(s, np.uint8).reshape(1, -1), width, PACKED).tobytes() if far else s
+        for s, far in zip(sketches, long, strict=True)
+    ]
+    cells = np.frombuffer(b"".join(level), np.uint8).reshape(len(level), width)
+    few = np.frombuffer(coarse(cells.tobytes()), np.uint8).reshape(len(level), -1)
     step = max(1, PAIRS_AT_ONCE // len(member))
     least = np.full(len(member), np.iinfo(np.int64).max)
     partner = np.full(len(member), -1)
@@ -463,11 +482,15 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
             near &= block != block[i]
         x, y = np.nonzero(near)
         x += start
-        apart = cells_apart(cells[x], cells[y])
-        keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-        x, y, apart = x[keep], y[keep], apart[keep]
+        for level in (few, cells):
+            apart = np.empty(len(x), np.int64)
+            for at in range(0, len(x), PAIRS_AT_ONCE // COARSE):
+                part = slice(at, at + PAIRS_AT_ONCE // COARSE)
+                apart[part] = cells_apart(level[x[part]], level[y[part]])
+            keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+            x, y, apart = x[keep], y[keep], apart[keep]
         finer = np.flatnonzero(long[x] & long[y])
-        apart[finer] = sketch_distance([sketches[i] for i in x[finer]], [sketches[i] for i in y[finer]])
+        apart[finer] = sketch_distance([sketches[i] for i in x[finer]], [sketches[i] for i in y[finer]], PACKED)
         keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
         x, y, apart = x[keep], y[keep], apart[keep]
         if not nearest:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_row_operators import ODD, documents, odd_documents
 
@@ -271,3 +272,41 @@ def test_signs_that_are_no_letters_have_no_language(spark):
     texts = [("½ ² ① Ⅷ",), ("12 !",), ("_",), ("ⅷ a",), ("日本",)]
     found = language_id.predict(spark.createDataFrame(texts, "text string"), model).collect()
     assert [r.lang_pred == "und" for r in found] == [True, True, True, False, False]
+
+
+def test_a_bucket_gives_no_rows_for_pairs_that_whole_sketches_rule_out():
+    """Unrelated sets of one size: coarse sketches alone leave more pairs the larger the bucket."""
+    rng = np.random.default_rng(11)
+    for size in (900, 3000):
+        common = rng.integers(0, 2**64, size // 2, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, size // 2, dtype=np.uint64)])) for _ in range(60)]
+        sets.append(np.unique(np.concatenate([sets[0][size // 50 :], rng.integers(0, 2**64, 5, dtype=np.uint64)])))
+        sets += [rng.integers(0, 2**64, n, dtype=np.uint64) for n in (1000, 1100, 1024, 2040, 4100)]
+        batch = pa.table(
+            {
+                "sig": [1] * len(sets),
+                "member": list(range(len(sets))),
+                "own": list(range(len(sets))),
+                "n": [len(s) for s in sets],
+                "cells": pa.array([partenum_join.packed(partenum_join.sketch(s)) for s in sets], pa.binary()),
+                "block": [0] * len(sets),
+            }
+        ).to_batches()
+        made = [b.to_pylist() for b in partenum_join._unit_pairs(batch, False, 80, False)]
+        assert [(r["a"], r["b"]) for rows in made for r in rows] == [(0, 60)]
+        near = [b.to_pylist() for b in partenum_join._unit_pairs(batch, False, 80, True)]
+        assert {(r["a"], r["b"]) for rows in near for r in rows} == {(0, 60)}
+
+
+def test_packed_sketches_never_exceed_the_difference_of_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 30, 900, 1100, 5000, 40_000)]
+    sets += [np.sort(rng.permutation(s)[: len(s) * 9 // 10]) for s in sets[3:]]
+    sets += [np.arange(k, dtype=np.uint64) for k in (20, 1000, 1100, 5000)]  # all in one cell
+    sketches = [partenum_join.unpacked(partenum_join.packed(partenum_join.sketch(s))) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(len(sets))]
+    apart = partenum_join.sketch_distance(
+        [sketches[i] for i, _ in pairs], [sketches[j] for _, j in pairs], partenum_join.PACKED
+    )
+    for (i, j), least in zip(pairs, apart.tolist(), strict=True):
+        assert least <= len(np.setxor1d(sets[i], sets[j]))
