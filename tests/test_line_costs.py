@@ -83,3 +83,38 @@ def test_the_gate_counts_pairs_without_placing_them(spark):
     texts = spark.createDataFrame([(1, "Name: x")], "doc_id bigint, text string")
     plan = structure.narrative_gate(canonical.structure_lines(texts))._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all(ltrim" not in plan
+
+
+def test_values_are_trimmed_and_labels_searched_once(spark):
+    from docrecords.functions import text, typing
+
+    df = spark.createDataFrame([("Invoice No.",)], "t string")
+    one = F.col("t")
+
+    def parsed(c):
+        return _plan(df.select(c)).split("== Analyzed")[0]
+
+    for made, name in (
+        (text.slug_camel(one), "regexp_replace"), (typing.infer_type(one), "trim"), (canonical.line_pairs(one), "regexp_extract_all")
+    ):
+        assert parsed(made).lower().count(name) == 1, name
+    # Once for the bounds of the label, then words, white space and case.
+    assert parsed(text.humanize_label(one)).lower().count("regexp_replace") == 3
+
+
+def test_label_look_ahead_takes_what_it_took(spark):
+    short = V.MAX_LABEL_CHARS - 1
+    rows = ["Total : 1", "Total\t : 1", "a" * (short + 1) + ": 1", "b" * (short + 2) + ": 1", "c" * short + "   : 1",
+            "Due Date   :  : 2  Total:  3", "Name （x）： y", "x Total: 1", "No: 1 id： 2", "a b c", "Total:1", "Total (net) &c.: 5"]
+    rows += ["d" * k + " " * n + ": 1" for k in range(short - 2, short + 3) for n in range(4)]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    found = df.select(
+        F.regexp_extract_all("t", F.lit(canonical.LABEL), F.lit(0)).alias("now"),
+        F.regexp_extract_all("t", F.lit(canonical.LABEL), F.lit(1)).alias("keys"),
+        F.regexp_extract_all("t", F.lit(canonical.LABEL.replace("}+" + V.WS + "*+", "}?" + V.WS + "*")), F.lit(0)).alias("before"),
+        F.transform(canonical.line_pairs(F.col("t")), lambda p: p["key"]).alias("pairs"),
+    ).collect()
+    assert "}?" not in canonical.LABEL
+    for r in found:
+        assert r.now == r.before and r.pairs == r.keys
+    assert sum(len(r.now) for r in found) > 20
