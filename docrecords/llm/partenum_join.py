@@ -14,7 +14,9 @@ partitions have one, as otherwise a partition with a subset that is not empty is
 
 Equal sets become one node before anything is joined; a task emits the signatures of a node once.  The
 nodes of a signature form a bucket, found by sorting.  A bucket's least node is compared with each
-other node (a star, not all pairs); components follow from the links found.  Where a bucket still holds
+other node (a star, not all pairs); components follow from the links found.  Near copies share many
+signatures, so buckets with the same least node are then taken as one: a node is in it once, and two nodes
+meet there once.  Where such a bucket still holds
 nodes of different components, each node outside its most frequent component is compared with the one
 of another component whose sketch is nearest.  What is then still in different components is compared
 with each other across the components, which completes the links.  So copies and near copies cost a comparison each, and no link that joins two
@@ -58,6 +60,7 @@ CELL_ITEMS = 4
 COARSE = 4
 PACKED = 15
 BLOCK = 4096
+LEADERS = 64
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
@@ -376,7 +379,7 @@ def jaccard_links(
     known = nodes.filter(F.col("node").isNotNull())
     firsts = known.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     signed = _sets(docs, _signature_rows(percent, parts), "sig long, node long", shingle)
-    stars = shared_stage(bucket_stars(signed), "stars")
+    stars = shared_stage(bucket_stars(signed).select("leader", "member").distinct(), "stars")
 
     def linked(possible: DataFrame, name: str) -> DataFrame:
         possible = shared_stage(possible, f"{name}_pairs")
@@ -386,7 +389,7 @@ def jaccard_links(
         forget(possible, sets)
         return found
 
-    tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b")).distinct()
+    tested = stars.select(F.col("leader").alias("a"), F.col("member").alias("b"))
     links = linked(_possible(tested, known, percent), "star")
     for step in ("nearest", "across"):
         pairs = shared_stage(_across(stars, components(links), known, percent, nearest=step == "nearest"), step)
@@ -399,28 +402,37 @@ def jaccard_links(
 def _across(
     stars: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, nearest: bool = False
 ) -> DataFrame:
-    """Pairs of a bucket's members, the leader aside, in different components, that may link.
+    """Pairs of a leader's members in different components, that may link.
 
+    Nodes that share a signature share its leader, so all of these meet here; the leader itself was compared.
     With `nearest` only one pair for each member outside the most frequent component.
     """
     label_of = labels.select(F.col("node").alias("member"), F.col("label").alias("own"))
     labelled = stars.join(label_of, "member", "left").select(
-        "sig", "member", F.coalesce("own", "member").alias("own")
+        "leader", "member", F.coalesce("own", "member").alias("own")
     )
-    mixed_up = labelled.groupBy("sig").agg(
+    mixed_up = labelled.groupBy("leader").agg(
         F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")
     ).filter((F.col("n") > 1) & (F.col("low") != F.col("high")))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    rows = labelled.join(mixed_up.select("sig", blocks.alias("blocks")), "sig").select(
-        "sig", "member", "own", "blocks", block.alias("block")
+    rows = labelled.join(mixed_up.select("leader", blocks.alias("blocks")), "leader").select(
+        "leader", "member", "own", "blocks", block.alias("block")
     )
     known = nodes.select(F.col("node").alias("member"), "n_shingles", "coarse").dropDuplicates(["member"])
+    # Two members with several leaders in common leave the task of the least one.  A member of very many leaders
+    # would carry a long list to each: its pairs may leave more than once.
+    if nearest:
+        known = known.withColumn("leaders", F.lit(None).cast("array<bigint>"))
+    else:
+        led = rows.groupBy("member").agg(F.collect_set("leader").alias("leaders"))
+        few = F.when(F.size("leaders") <= LEADERS, F.sort_array("leaders")).alias("leaders")
+        known = known.join(led.select("member", few), "member")
     # One row for each block that the member's own block meets; nearly all buckets are one block.
     meets = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     sketched = (
         rows.join(known, "member")
-        .select("sig", "member", "own", "n_shingles", "coarse", "block", meets)
+        .select("leader", "member", "own", "n_shingles", "coarse", "block", "leaders", meets)
         .withColumn("low", F.least("block", "other"))
         .withColumn("high", F.greatest("block", "other"))
         .drop("other")
@@ -429,7 +441,7 @@ def _across(
     def run(batches):
         unit, held = None, []
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in (0, 6, 7)])
+            keys = np.stack([batch.column(k).to_numpy() for k in (0, 7, 8)])
             if not keys.shape[1]:
                 continue
             changes = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
@@ -444,7 +456,7 @@ def _across(
         if held:
             yield from _unit_pairs(held, unit[1] != unit[2], percent, nearest)
 
-    keys = ("sig", "low", "high")
+    keys = ("leader", "low", "high")
     ordered = sketched.repartition(*keys).sortWithinPartitions(*keys, "member")
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
@@ -494,7 +506,8 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
         keep = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
         x, y, apart = x[keep], y[keep], apart[keep]
         if not nearest:
-            yield _pair_rows(member[x], member[y])
+            first = _first_shared(rows, x, y)
+            yield _pair_rows(member[x[first]], member[y[first]])
             continue
         for one, other in ((x, y), (y, x)):
             order = np.lexsort((apart, one))
@@ -509,6 +522,18 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
         yield _pair_rows(member[x], member[partner[x]])
 
 
+def _first_shared(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs have no lesser leader in common than that of `rows`, as far as leaders are listed."""
+    if not len(x) or "leaders" not in rows.column_names:
+        return np.ones(len(x), bool)
+    at = np.unique(np.concatenate([x, y]))
+    listed = dict(zip(at.tolist(), rows.column("leaders").take(pa.array(at)).to_pylist(), strict=True))
+    here = rows.column(0)[0].as_py()
+    # Lists are cut before this leader, so that a pair is kept if nothing is in common.
+    lesser = {i: frozenset(v for v in found or () if v < here) for i, found in listed.items()}
+    return np.array([lesser[i].isdisjoint(lesser[j]) for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+
+
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]

@@ -173,3 +173,25 @@ def test_stages_take_odd_rows(spark, sf):
         assert stage(spark, good.limit(0), sf).collect() == []
     pieces = corpus_pipeline.packing(spark, odd, sf).collect()
     assert sum(r.start == 0 for r in pieces) == 6
+
+
+def test_a_pair_leaves_the_task_of_its_least_leader_only(spark):
+    import pyarrow as pa
+
+    cells = bytes([1]) * (partenum_join.SKETCH // partenum_join.COARSE)
+    stars = spark.createDataFrame([(leader, m) for leader in (-2, 0) for m in range(1, 12)], "leader long, member long")
+    labels = spark.createDataFrame([(m, m % 3) for m in range(1, 12)], "node long, label long")
+    nodes = spark.createDataFrame([(m, 256 + m, cells) for m in range(12)], "node long, n_shingles long, coarse binary")
+    pairs = {tuple(r) for r in partenum_join._across(stars, labels, nodes, 85).collect()}
+    assert pairs == {(a, b) for a in range(1, 12) for b in range(a + 1, 12) if a % 3 != b % 3}
+
+    def made(leader, lists):
+        names = ["leader", "member", "own", "n_shingles", "coarse", "block", "leaders", "low", "high"]
+        n = len(lists)
+        columns = [[leader] * n, range(n), range(n), [256] * n, [cells] * n, [0] * n, pa.array(lists, pa.list_(pa.int64())), [0] * n, [0] * n]
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        return [(r["a"], r["b"]) for b in partenum_join._unit_pairs([batch], False, 85, False) for r in b.to_pylist()]
+
+    lists = [[-2, 5], [-2, 5], [1, 5], None]  # the last has too many leaders for a list
+    assert made(5, lists) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+    assert made(-2, lists[:2]) == [(0, 1)]
