@@ -118,3 +118,10 @@ def test_label_look_ahead_takes_what_it_took(spark):
     for r in found:
         assert r.now == r.before and r.pairs == r.keys
     assert sum(len(r.now) for r in found) > 20
+
+
+def test_cells_of_a_very_long_line(spark):
+    # Before, the pattern needed the stack for every word, and the executor ended with an overflow.
+    df = spark.createDataFrame([("word " * 300_000 + " x\ty",)], "t string")
+    cells = F.transform(canonical.split_cells(F.col("t")), F.length)
+    assert df.select(cells.alias("c")).first().c == [5 * 300_000 - 1, 1, 1]
