@@ -61,16 +61,23 @@ COARSE = 4
 PACKED = 15
 BLOCK = 4096
 LEADERS = 64
+# Numbers of 32 bits whose sum is a whole number as a double; documents worked on and handed on at once.
+SUMMED = 2_000_000
+AT_ONCE = 500
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _SHIFT = np.uint64(33)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A finalizing hash of 64-bit numbers."""
-    x = (x ^ (x >> _SHIFT)) * _M1
-    x = (x ^ (x >> _SHIFT)) * _M2
-    return x ^ (x >> _SHIFT)
+    x = x ^ (x >> _SHIFT)
+    x *= _M1
+    x ^= x >> _SHIFT
+    x *= _M2
+    x ^= x >> _SHIFT
+    return x
 
 
 class WordHashes(dict):
@@ -132,17 +139,24 @@ def instances(size: int, percent: int) -> tuple[tuple[int, int], ...]:
     return tuple(found)
 
 
+def sums_by(part: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of 64-bit numbers by part, modulo 2^64: the halves' sums are exact as doubles for two million numbers."""
+    low = np.bincount(part, values & _LOW, n).astype(np.uint64)
+    return low + (np.bincount(part, values >> _HALF, n).astype(np.uint64) << _HALF)
+
+
 def signatures(shingles: np.ndarray, percent: int = PERCENT, parts: int = PARTS) -> np.ndarray:
     out = []
     for instance, k in instances(len(shingles), percent):
         n1 = k // 2 + 1 + SPARE
         x = mixed(shingles + np.uint64(1 + instance))
         part = (x % np.uint64(n1 * parts)).astype(np.int64)
-        order = part.argsort(kind="stable")
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(x)[order])])
-        edge = part[order].searchsorted(np.arange(n1 * parts + 1))
-        own = (sums[edge[1:]] - sums[edge[:-1]]).reshape(n1, parts)
-        held = np.diff(edge).reshape(n1, parts)
+        elements = mixed(x)
+        own = np.zeros(n1 * parts, np.uint64)
+        for at in range(0, len(x), SUMMED):
+            own += sums_by(part[at : at + SUMMED], elements[at : at + SUMMED], n1 * parts)
+        own = own.reshape(n1, parts)
+        held = np.bincount(part, minlength=n1 * parts).reshape(n1, parts)
         others = own.sum(axis=1, keepdims=True) - own
         empty = held.sum(axis=1, keepdims=True) == held
         place = np.arange(n1 * parts, dtype=np.uint64).reshape(n1, parts)
@@ -154,14 +168,19 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT, parts: int = PARTS)
 
 
 def _sets(docs: DataFrame, convert, schema: str, shingle: int, *keys: str) -> DataFrame:
-    """Rows made from the shingle set of each document, in batches: `convert(batch, sets)`."""
+    """Rows made from the shingle set of each document: `convert(batch, sets)`.
+
+    Batches are worked on in slices, as a document makes some hundred rows.
+    """
 
     def run(batches):
         hashes = WordHashes()
         seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t, hashes, shingle) for t in text_bytes(batch, "text")]
-            yield convert(batch, sets, seen)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                sets = [shingle_set(t, hashes, shingle) for t in text_bytes(part, "text")]
+                yield convert(part, sets, seen)
 
     return docs.select(*keys, F.col("text")).mapInArrow(run, schema)
 
@@ -217,6 +236,17 @@ def cells_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (np.maximum(a, b) - np.minimum(a, b)).sum(axis=1, dtype=np.int64)
 
 
+def leveled(cells: np.ndarray) -> np.ndarray:
+    """Sketches in rows as words of bits: which cells reach the usual count, and which the next one.
+
+    Two counts differ by at least as many as there are levels that only one of them reaches, so differing bits
+    never outnumber the differences of the sketches.
+    """
+    usual = max(1, int(np.median(cells)))
+    bits = [np.packbits(cells >= level, axis=1) for level in (usual, usual + 1)]
+    return np.ascontiguousarray(np.concatenate(bits, axis=1)).view(np.uint64)
+
+
 def sketch_distance(x: list[bytes], y: list[bytes], most: int = 255) -> np.ndarray:
     """For pairs of sketches, a number that the sets' differences are never below."""
     lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
@@ -462,6 +492,7 @@ def _across(
 
 
 PAIRS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 64
 
 
 def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, nearest: bool):
@@ -483,17 +514,27 @@ def _unit_pairs(held: list[pa.RecordBatch], two_blocks: bool, percent: int, near
     ]
     cells = np.frombuffer(b"".join(level), np.uint8).reshape(len(level), width)
     few = np.frombuffer(coarse(cells.tobytes()), np.uint8).reshape(len(level), -1)
-    step = max(1, PAIRS_AT_ONCE // len(member))
+    words = leveled(cells).T.copy()
+    # Sizes as far as they matter for so many bits.
+    allowed = np.minimum((100 - percent) * n, 1 << 29).astype(np.int32)
+    step = min(ROWS_AT_ONCE, max(1, PAIRS_AT_ONCE // len(member)))
     least = np.full(len(member), np.iinfo(np.int64).max)
     partner = np.full(len(member), -1)
     for start in range(0, len(member), step):
-        i = np.arange(start, min(start + step, len(member)))[:, None]
-        near = (np.arange(len(member)) > i) & (own != own[i])
-        near &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+        # Rows meet those from their own block on; most pairs end here, after a few operations on whole words.
+        here, rest = slice(start, start + step), slice(start, None)
+        differing = np.zeros((len(member[here]), len(member[rest])), np.int32)
+        for word in words:
+            differing += np.bitwise_count(word[here, None] ^ word[rest])
+        differing *= 100 + percent
+        differing -= allowed[here, None]
+        near = (differing <= allowed[rest]) & (own[here, None] != own[rest])
         if two_blocks:
-            near &= block != block[i]
+            near &= block[here, None] != block[rest]
         x, y = np.nonzero(near)
-        x += start
+        x, y = x + start, y + start
+        similar = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[similar], y[similar]
         for level in (few, cells):
             apart = np.empty(len(x), np.int64)
             for at in range(0, len(x), PAIRS_AT_ONCE // COARSE):

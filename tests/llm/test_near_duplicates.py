@@ -195,3 +195,40 @@ def test_a_pair_leaves_the_task_of_its_least_leader_only(spark):
     lists = [[-2, 5], [-2, 5], [1, 5], None]  # the last has too many leaders for a list
     assert made(5, lists) == [(0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
     assert made(-2, lists[:2]) == [(0, 1)]
+
+
+def test_signature_sums_are_exact_and_rows_leave_in_slices(spark):
+    import pyarrow as pa
+
+
+    rng = np.random.default_rng(5)
+    values, part = rng.integers(0, 2**64, 50_000, np.uint64), rng.integers(0, 7, 50_000)
+    want = [sum(values[part == k].tolist()) % 2**64 for k in range(7)]
+    assert partenum_join.sums_by(part, values, 7).tolist() == want
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            texts = pa.RecordBatch.from_pydict({"text": [f"w{i} x y z {i}" for i in range(1200)]})
+            return [b.num_rows for b in run([texts])]
+
+    sizes = partenum_join._sets(Docs(), lambda batch, sets, seen: batch, "", 4)
+    assert sum(sizes) == 1200 and max(sizes) <= partenum_join.AT_ONCE
+
+
+def test_levels_never_outnumber_differences_and_drop_most_pairs():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**64, int(rng.integers(250, 350)), np.uint64)) for _ in range(120)]
+    near = [np.sort(rng.choice(s, len(s) - 3, replace=False)) for s in sets[:40]]
+    sketches = [partenum_join.sketch(s) for s in sets + near]
+    width = min(map(len, sketches))
+    cells = np.stack([partenum_join.folded(np.frombuffer(s, np.uint8).reshape(1, -1), width)[0] for s in sketches])
+    words = partenum_join.leveled(cells)
+    x, y = np.triu_indices(len(cells), 1)
+    bits = np.bitwise_count(words[x] ^ words[y]).sum(axis=1)
+    assert (bits <= partenum_join.cells_apart(cells[x], cells[y])).all()
+    n = np.array([len(s) for s in sets + near])
+    kept = 180 * bits <= 20 * (n[x] + n[y])
+    assert kept[(x < 40) & (y == x + len(sets))].all() and kept.mean() < 0.02
